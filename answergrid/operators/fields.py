@@ -97,16 +97,10 @@ def fields_as_columns(
     return df.withColumns(parsed).withColumns(prepared).withColumns(results).drop(*helpers)
 
 
-def _sql_array(items: Iterable[str]) -> str:
-    return ", ".join(items)
-
-
-def _sql_search(records: str, match_keys: Sequence[str], value_keys: Sequence[str]) -> str:
-    tests = " OR ".join(
-        f"coalesce(contains_title(e.`{k}`, title), false)" for k in match_keys
-    )
-    values = _sql_array(f"e.`{k}`" for k in value_keys)
-    return f"get(transform(filter({records}, e -> {tests}), e -> coalesce({values}, '')), 0)"
+def _sql_search(items: str, match_keys: Sequence[str], value_keys: Sequence[str]) -> str:
+    tests = " OR ".join(f"coalesce(lower(e.`{k}`) LIKE pattern, false)" for k in match_keys)
+    values = ", ".join(f"e.`{k}`" for k in value_keys)
+    return f"get(transform(filter({items}, e -> {tests}), e -> coalesce({values}, '')), 0)"
 
 
 def register_sql_functions(spark: SparkSession) -> None:
@@ -118,14 +112,6 @@ def register_sql_functions(spark: SparkSession) -> None:
     ``fields_as_columns``.
     """
     documents.configure(spark)
-    spark.sql(
-        r"""
-        CREATE OR REPLACE TEMPORARY FUNCTION contains_title(text STRING, title STRING)
-        RETURNS BOOLEAN
-        RETURN lower(text) LIKE
-            lower(concat('%', replace(left(title, {length}), '\\', '\\\\'), '%'))
-        """.replace("{length}", str(matching.PATTERN_LENGTH))
-    )
     list_keys = [*matching.LIST_MATCH_KEYS, *matching.LIST_VALUE_KEYS]
     root_keys = [*matching.ARRAY_MATCH_KEYS, *matching.ARRAY_VALUE_KEYS]
     root_type = documents.record_type(root_keys)
@@ -142,15 +128,19 @@ def register_sql_functions(spark: SparkSession) -> None:
     )
     spark.sql(
         f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION document_field(doc VARIANT, title STRING)
+        CREATE OR REPLACE TEMPORARY FUNCTION document_field(doc VARIANT, pattern STRING)
         RETURNS STRING
         RETURN coalesce({in_list}, {in_root}, '')
         """
     )
+    start = f"left(title, {matching.PATTERN_LENGTH})"
     spark.sql(
-        """
+        f"""
         CREATE OR REPLACE TEMPORARY FUNCTION json_field(json STRING, title STRING)
         RETURNS STRING
-        RETURN document_field(try_parse_json(json), title)
+        RETURN document_field(
+            try_parse_json(json),
+            lower(concat('%', replace({start}, chr(92), repeat(chr(92), 2)), '%'))
+        )
         """
     )
