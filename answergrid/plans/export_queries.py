@@ -15,7 +15,7 @@ from answergrid.operators import (
     missing_by_day,
 )
 from answergrid.plans import inputs
-from answergrid.plans.registry import query, table
+from answergrid.plans.registry import documents_of, query, table
 from answergrid.sources import new_path, read_export, read_grid, read_query, write_grid
 
 
@@ -84,8 +84,8 @@ def row_cap_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extract, cap, write as grid files with headers, read back."""
-    orders = table(spark, sf_dir, "orders")
-    df = orders.select("o_orderkey", "o_orderdate", inputs.list_of(*inputs.order_items()).alias("answers"))
+    orders = documents_of(spark, sf_dir, "orders")
+    df = orders.select("o_orderkey", "o_orderdate", inputs.order_json().alias("answers"))
     result = fields_as_columns(df, "answers", ["priority"]).select(
         "o_orderkey", "priority", "o_orderdate"
     )
@@ -257,8 +257,8 @@ def common_table_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lateral_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array elements beside their row, in SQL."""
     documents.configure(spark)
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderdate", inputs.list_of(*inputs.order_items()).alias("answers")
+    orders = documents_of(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", inputs.order_json().alias("answers")
     )
     return read_query(
         spark,
@@ -284,7 +284,7 @@ def lateral_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_and_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key lookup, key test, kinds, casts, CASE, COALESCE, LOWER and LIKE."""
-    events = table(spark, sf_dir, "events")
+    events = documents_of(spark, sf_dir, "events")
     parsed = events.withColumn("doc", documents.document_of(events, "props"))
     doc = F.col("doc")
     lowered = F.lower("event_type")

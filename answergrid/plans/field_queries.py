@@ -9,7 +9,7 @@ from answergrid.functions import documents, matching, strategies
 from answergrid.operators import fields_as_columns, register_sql_functions
 from answergrid.plans import inputs
 from answergrid.plans.inputs import array_of, item, list_of, object_of
-from answergrid.plans.registry import query, table
+from answergrid.plans.registry import documents_of, query, table
 
 
 @query(
@@ -148,7 +148,7 @@ def strategy_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.lit('{"list":[{"label":"Priority","value":"label does not count here"}]}')
     for number, text in enumerate(shapes):
         shape = F.when(F.col("o_orderkey") % 8 == number, text).otherwise(shape)
-    df = table(spark, sf_dir, "orders").select("o_orderkey", shape.alias("answers"))
+    df = documents_of(spark, sf_dir, "orders").select("o_orderkey", shape.alias("answers"))
     return fields_as_columns(df, "answers", ["Priority"]).drop("answers")
 
 
@@ -175,7 +175,7 @@ def title_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "A\\B",
         "1st",
     ]
-    df = table(spark, sf_dir, "orders").select("o_orderkey", answers.alias("answers"))
+    df = documents_of(spark, sf_dir, "orders").select("o_orderkey", answers.alias("answers"))
     return fields_as_columns(df, "answers", titles).drop("answers")
 
 
@@ -192,7 +192,7 @@ def titles_in_other_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         item(question_title="Источник", value_text=F.col("source")),
         item(question_title="Полный текст", value_text=F.col("text")),
     )
-    df = table(spark, sf_dir, "documents").select("doc_id", answers.alias("answers"))
+    df = documents_of(spark, sf_dir, "documents").select("doc_id", answers.alias("answers"))
     titles = ["язык ДОКУМЕНТА", "источник", "ПОЛНЫЙ текст"]
     return fields_as_columns(df, "answers", titles).drop("answers")
 
@@ -205,7 +205,7 @@ def titles_in_other_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def direct_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value under the title itself."""
-    df = table(spark, sf_dir, "events").select("event_id", "props")
+    df = documents_of(spark, sf_dir, "events").select("event_id", "props")
     chosen = [strategies.direct_field()]
     return fields_as_columns(df, "props", ["k", "missing"], strategies=chosen).drop("props")
 
@@ -318,8 +318,8 @@ def coalesce_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multi_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two JSON columns of a join, each with its own titles."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", list_of(*inputs.order_items()).alias("order_answers")
+    orders = documents_of(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", inputs.order_json().alias("order_answers")
     )
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey",
@@ -347,8 +347,8 @@ def multi_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def filter_extract_sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter before extracting, sort and limit by what was extracted."""
-    orders = table(spark, sf_dir, "orders")
-    df = orders.select("*", list_of(*inputs.order_items()).alias("answers")).where(
+    orders = documents_of(spark, sf_dir, "orders")
+    df = orders.select("*", inputs.order_json().alias("answers")).where(
         "o_orderdate > TIMESTAMP_NTZ '1998-01-01' AND o_orderstatus = 'F'"
     )
     wide = fields_as_columns(df, "answers", ["priority"]).select("o_orderkey", "priority")
@@ -363,8 +363,8 @@ def filter_extract_sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def select_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted columns anywhere in the select list, and in a filter."""
-    orders = table(spark, sf_dir, "orders")
-    df = orders.select("*", list_of(*inputs.order_items()).alias("answers"))
+    orders = documents_of(spark, sf_dir, "orders")
+    df = orders.select("*", inputs.order_json().alias("answers"))
     wide = fields_as_columns(df, "answers", ["priority", "status"])
     return wide.where("priority LIKE '1%'").select("o_custkey", "status", "o_orderkey", "priority")
 
@@ -384,7 +384,7 @@ def custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = object_of(
         list=array_of(item(title="Type of event", value=F.col("event_type"))), props=F.col("props")
     )
-    df = table(spark, sf_dir, "events").select("event_id", answers.alias("answers"))
+    df = documents_of(spark, sf_dir, "events").select("event_id", answers.alias("answers"))
     chosen = [*strategies.default_strategies(), nested_props]
     wide = fields_as_columns(
         df, "answers", ["type of event", "k", "other"], strategies=chosen, default="none"

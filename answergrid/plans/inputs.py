@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergrid.plans.registry import table
+from answergrid.plans.registry import documents_of, table
 
 
 def item(**values: Column | str) -> Column:
@@ -34,43 +34,57 @@ def list_of(*items: Column) -> Column:
     return object_of(list=array_of(*items))
 
 
-def order_items() -> list[Column]:
-    """One record per order column, with differing title and value keys."""
-    return [
-        item(question_title="Order status", value_text=F.col("o_orderstatus")),
-        item(title="Order priority", answer=F.col("o_orderpriority")),
-        item(question="Customer number", text=F.col("o_custkey").cast("string")),
-        item(name="Order date", value=F.date_format("o_orderdate", "yyyy-MM-dd")),
-        item(name="Order number", response=F.col("o_orderkey")),
-    ]
+def records_json(*records: dict[str, Column | str]) -> Column:
+    """``{"list": [...]}`` of records with differing keys, in one conversion."""
+    keys = dict.fromkeys(k for r in records for k in r)
+
+    def value(record: dict[str, Column | str], key: str) -> Column:
+        found = record.get(key)
+        return (found if isinstance(found, Column) else F.lit(found)).alias(key)
+
+    rows = [F.struct(*[value(r, k) for k in keys]) for r in records]
+    return F.to_json(F.struct(F.array(*rows).alias("list")))
+
+
+def order_json() -> Column:
+    """An order as a survey answer, with differing title and value keys."""
+    return records_json(
+        {"question_title": "Order status", "value_text": F.col("o_orderstatus")},
+        {"title": "Order priority", "answer": F.col("o_orderpriority")},
+        {"question": "Customer number", "text": F.col("o_custkey").cast("string")},
+        {"name": "Order date", "value": F.date_format("o_orderdate", "yyyy-MM-dd")},
+        {"name": "Order number", "response": F.col("o_orderkey")},
+    )
 
 
 def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(o_orderkey, answers)``: every order as a survey answer."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", list_of(*order_items()).alias("answers"))
+    orders = documents_of(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", order_json().alias("answers"))
 
 
 def turn_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(conv_id, turn, answers)``: every conversation turn with its whole text."""
-    turns = table(spark, sf_dir, "conversations")
-    answers = list_of(
-        item(question_title="Speaker role", value_text=F.col("role")),
-        item(question="Position in the conversation", response=F.col("turn")),
-        item(title="Message text", answer=F.col("text")),
+    turns = documents_of(spark, sf_dir, "conversations")
+    answers = records_json(
+        {"question_title": "Speaker role", "value_text": F.col("role")},
+        {"question": "Position in the conversation", "response": F.col("turn")},
+        {"title": "Message text", "answer": F.col("text")},
     )
     return turns.select("conv_id", "turn", answers.alias("answers"))
 
 
 def lineitem_answers(spark: SparkSession, sf_dir: str, repeats: int = 1) -> DataFrame:
     """``(l_orderkey, l_linenumber, answers)``: eleven records per line item and repeat."""
-    lines = table(spark, sf_dir, "lineitem")
-    records = [
-        item(question_title=f"Line {c[2:]} {r}", value_text=F.col(c).cast("string"))
-        for r in range(repeats)
-        for c in lines.columns
-    ]
-    return lines.select("l_orderkey", "l_linenumber", list_of(*records).alias("answers"))
+    lines = documents_of(spark, sf_dir, "lineitem")
+    answers = records_json(
+        *[
+            {"question_title": f"Line {c[2:]} {r}", "value_text": F.col(c).cast("string")}
+            for r in range(repeats)
+            for c in lines.columns
+        ]
+    )
+    return lines.select("l_orderkey", "l_linenumber", answers.alias("answers"))
 
 
 def lineitem_titles(spark: SparkSession, sf_dir: str, repeats: int = 1) -> list[str]:

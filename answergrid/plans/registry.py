@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from answergrid.functions.documents import configure
+from answergrid.sources.tables import spread
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +43,8 @@ def query(sql: str | None) -> Callable[[QueryFunction], QueryFunction]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are made into documents: costly rows, shared evenly."""
+    return spread(table(spark, sf_dir, name))

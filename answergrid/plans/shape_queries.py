@@ -16,7 +16,7 @@ from answergrid.operators import (
 )
 from answergrid.plans import inputs
 from answergrid.plans.inputs import array_of, item, list_of, object_of
-from answergrid.plans.registry import query, table
+from answergrid.plans.registry import documents_of, query, table
 
 
 @query(
@@ -28,7 +28,7 @@ from answergrid.plans.registry import query, table
 def unnest_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of every document text."""
     lines = F.to_json(F.split("text", "\n", -1))
-    df = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    df = documents_of(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
     return unnest_rows(df, "lines")
 
 
@@ -58,7 +58,7 @@ def unnest_object_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.concat(
         F.expr("left(props, length(props) - 1)"), F.lit(',"type":"'), F.col("event_type"), F.lit('"}')
     )
-    df = table(spark, sf_dir, "events").select("event_id", both.alias("props"))
+    df = documents_of(spark, sf_dir, "events").select("event_id", both.alias("props"))
     return unnest_entries(df, "props")
 
 
@@ -71,7 +71,7 @@ def _order_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n >= 2, item(question="Customer", answer=F.col("o_custkey"))),
         F.when(n >= 3, item(question="Order")),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", survey.alias("survey"))
+    return documents_of(spark, sf_dir, "orders").select("o_orderkey", survey.alias("survey"))
 
 
 _POSITIONAL = """
@@ -138,7 +138,7 @@ def unnest_pivot_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         item(name=F.col("o_orderpriority"), value=F.col("o_orderstatus")),
         item(name=F.col("o_orderpriority"), value="second"),
     )
-    df = table(spark, sf_dir, "orders").select("o_orderkey", survey.alias("survey"))
+    df = documents_of(spark, sf_dir, "orders").select("o_orderkey", survey.alias("survey"))
     return unnest_pivot(df, "survey", "name", "value").drop("survey")
 
 
@@ -151,7 +151,7 @@ def unnest_pivot_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def profile_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the property documents of events hold."""
-    return profile_json(table(spark, sf_dir, "events"), "props")
+    return profile_json(documents_of(spark, sf_dir, "events"), "props")
 
 
 @query(
@@ -176,13 +176,13 @@ def profile_mixed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 1, item(lang=F.col("lang"), short=F.col("n_chars") < 500))
         .otherwise(F.concat(F.lit('"'), F.col("lang"), F.lit('"')))
     )
-    return profile_json(table(spark, sf_dir, "documents").select(doc.alias("doc")), "doc")
+    return profile_json(documents_of(spark, sf_dir, "documents").select(doc.alias("doc")), "doc")
 
 
 @query("SELECT 'OBJECT<k: BIGINT>' AS json_schema")
 def column_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The common schema of a whole column."""
-    return json_schema(table(spark, sf_dir, "events"), "props")
+    return json_schema(documents_of(spark, sf_dir, "events"), "props")
 
 
 @query(
@@ -201,7 +201,7 @@ def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = (
         table(spark, sf_dir, "region").select(F.concat(F.lit("Что: "), "r_name").alias("t"))
         .unionAll(table(spark, sf_dir, "nation").select("n_name"))
-        .unionAll(table(spark, sf_dir, "orders").select("o_orderpriority"))
+        .unionAll(documents_of(spark, sf_dir, "orders").select("o_orderpriority"))
     )
     answers = list_of(item(question=F.col("t"), number=F.lit(12345678901)))
     return candidate_titles(titles.select(answers.alias("answers")), "answers", path="$.list")

@@ -11,10 +11,11 @@ from answergrid.sources.history import (
 )
 from answergrid.sources.metrics import Run
 from answergrid.sources.shared import new_path, shared_dir
-from answergrid.sources.tables import jdbc_options, read_jdbc, read_query
+from answergrid.sources.tables import jdbc_options, read_jdbc, read_query, spread
 
 __all__ = [
     "HISTORY_SCHEMA", "HistoryMismatch", "Run", "append_history", "append_history_files",
     "ensure_history", "jdbc_options", "new_path", "parse_range", "read_export", "read_grid",
-    "read_head", "read_history_files", "read_jdbc", "read_query", "shared_dir", "write_grid",
+    "read_head", "read_history_files", "read_jdbc", "read_query", "shared_dir", "spread",
+    "write_grid",
 ]

@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 QUERY_SECONDS = 60
 
 
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """Share the work of a few large splits among all cores.
+
+    Parsing documents costs far more than reading them, so a file read by one
+    task keeps one core busy for long.  A table that already has a split per
+    core, as every large one has, is returned as it is, without a shuffle.
+    """
+    least = least or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def read_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """A query over the session's tables and any DataFrames named ``{name}``."""
     return spark.sql(sql, **tables)
