@@ -18,12 +18,14 @@ ROOT = "$"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the session options that documents rely on.
+    """Set the session options that this package relies on.
 
     A repeated key keeps its last value instead of making the document
-    unreadable.
+    unreadable.  Generated methods stay small enough for the JVM to compile,
+    which matters for wide tables; larger ones are split by Spark.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

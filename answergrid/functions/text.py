@@ -23,28 +23,20 @@ def _iso_time(col: Column, offset: Column) -> Column:
     return F.concat(seconds, F.coalesce(fraction, F.lit("")), offset)
 
 
-def _without_zeros(digits: Column) -> Column:
-    return F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
-
-
 def _float_text(col: Column) -> Column:
-    """Shortest text of a double; plain from 1e-4 up to 1e16, else with exponent."""
+    """Shortest text of a double; plain from 1e-4 up to 1e16, else with exponent.
+
+    Spark's own text differs only where it uses an exponent, or names a value
+    that is no number, so almost all values take the short way.
+    """
     text = col.cast("string")
-    size = F.abs(col)
-    power = F.substring_index(text, "E", -1).cast("int")
-    exponent = F.concat(
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(power).cast("string"),
-    )
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    return (
-        F.when(F.isnan(col), F.lit("nan"))
-        .when(size == float("inf"), F.regexp_replace(text, "Infinity", "inf"))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), text)
-        .when((size >= 1e7) & (size < 1e16), _without_zeros(col.cast("decimal(38,10)").cast("string")))
-        .when((size >= 1e-4) & (size < 1e-3), _without_zeros(col.cast("decimal(38,24)").cast("string")))
-        .otherwise(F.concat(mantissa, exponent))
+    digits = F.regexp_replace(col.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.regexp_replace(text, r"(\.0)?E(-?)", "e$2")
+    power = F.regexp_replace(power, r"e(\d)", "e+$1")
+    power = F.regexp_replace(power, r"e([+-])(\d)$", "e$10$2")
+    plain = (F.abs(col) >= 1e-4) & (F.abs(col) < 1e16)
+    return F.when(F.contains(text, F.lit("E")), F.when(plain, digits).otherwise(power)).otherwise(
+        F.lower(F.replace(text, F.lit("Infinity"), F.lit("inf")))
     )
 
 
