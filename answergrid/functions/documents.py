@@ -68,10 +68,10 @@ def records(doc: Column, path: str, keys: Iterable[str]) -> Column:
 
 
 def root_records(doc: Column, keys: Iterable[str]) -> Column:
-    """The root array as records, or the root itself as the only record."""
+    """The root array as records, or the root object as the only record."""
     keys = list(keys)
     single = F.try_variant_get(doc, ROOT, record_type(keys))
-    return F.coalesce(records(doc, ROOT, keys), F.array(single))
+    return F.coalesce(records(doc, ROOT, keys), F.array_compact(F.array(single)))
 
 
 def item_records(doc: Column, keys: Iterable[str], path: str | None = None) -> Column:

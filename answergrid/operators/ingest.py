@@ -31,44 +31,40 @@ def row_literal(value: Any, dtype: T.DataType) -> Column:
 
 @dataclass(frozen=True)
 class Header:
-    """Where the header is and which column holds which field."""
+    """Where the header is and which column holds which field.
+
+    Without a ``row_no`` the header lies above all rows.
+    """
 
     row_no: Any
     columns: dict[str, int]
     missing: list[str] = field(default_factory=list)
 
 
-def find_header(
-    grid: DataFrame, id_field: str, fields: Sequence[str], head: DataFrame | None = None
-) -> Header:
+def find_header(grid: DataFrame, id_field: str, fields: Sequence[str]) -> Header:
     """The first row that holds ``id_field``, whatever its case and padding.
 
-    A field takes the first column with its name.  Only this one row's
-    positions reach the driver.  ``head`` is a leading part of the grid, such
-    as its first file: it is searched first, and the whole grid only if the
-    header is not there.
+    A field takes the first column with its name.  One pass over the grid finds
+    the row; only the positions in this one row reach the driver.
     """
     wanted = list(dict.fromkeys([id_field, *fields]))
-
-    def search(part: DataFrame) -> Row | None:
-        names = F.transform("cells", lambda c: F.lower(strip(c)))
-        lowered = part.select("row_no", names.alias("names"))
-        places = [
-            F.array_position("names", F.lower(F.lit(f))).alias(f"p{i}")
-            for i, f in enumerate(wanted)
-        ]
-        rows = lowered.where(F.array_contains("names", F.lower(F.lit(id_field))))
-        found = rows.select(F.struct("row_no", *places).alias("header"))
-        return found.agg(F.min_by("header", "header.row_no").alias("header")).first()["header"]
-
-    row = (search(head) if head is not None else None) or search(grid)
+    names = F.transform("cells", lambda c: F.lower(strip(c)))
+    places = [
+        F.array_position("names", F.lower(F.lit(f))).alias(f"p{i}") for i, f in enumerate(wanted)
+    ]
+    candidates = (
+        grid.select("row_no", names.alias("names"))
+        .where(F.array_contains("names", F.lower(F.lit(id_field))))
+        .select(F.struct("row_no", *places).alias("header"))
+    )
+    row = candidates.agg(F.min_by("header", "header.row_no").alias("header")).first()["header"]
     if row is None:
         raise HeaderNotFound(f"no header row holds the id field {id_field!r}")
-    places = {f: row[f"p{i}"] for i, f in enumerate(wanted)}
+    found = {f: row[f"p{i}"] for i, f in enumerate(wanted)}
     return Header(
         row_no=row["row_no"],
-        columns={f: p - 1 for f, p in places.items() if p},
-        missing=[f for f, p in places.items() if not p],
+        columns={f: p - 1 for f, p in found.items() if p},
+        missing=[f for f, p in found.items() if not p],
     )
 
 
@@ -98,9 +94,11 @@ def pack_rows(
     cells = {names.get(f, f): _cell(header.columns.get(f)) for f in fields}
     stamp = F.current_timestamp() if loaded_at is None else loaded_at
     stamp = stamp if isinstance(stamp, Column) else F.lit(stamp)
-    below = F.col("row_no") > row_literal(header.row_no, grid.schema["row_no"].dataType)
+    filled = F.exists("cells", lambda c: strip(c) != "")
+    if header.row_no is not None:
+        filled &= F.col("row_no") > row_literal(header.row_no, grid.schema["row_no"].dataType)
     return (
-        grid.where(below & F.exists("cells", lambda c: strip(c) != ""))
+        grid.where(filled)
         .select(
             _cell(header.columns[id_field]).alias("entity_id"),
             F.to_json(F.struct(*[c.alias(n) for n, c in cells.items()])).alias("data"),
@@ -115,11 +113,10 @@ def import_grid(
     id_field: str,
     fields: Sequence[str],
     *,
-    head: DataFrame | None = None,
     rename: Mapping[str, str] | None = None,
     loaded_at: datetime | Column | None = None,
 ) -> tuple[DataFrame, Header]:
     """Find the header and pack the rows; the header lists missing fields."""
-    header = find_header(grid, id_field, fields, head)
+    header = find_header(grid, id_field, fields)
     rows = pack_rows(grid, header, id_field, fields, rename=rename, loaded_at=loaded_at)
     return rows, header

@@ -14,6 +14,12 @@ ITEMS = "__items"
 MOST_COLUMNS = 10_000
 
 
+def _others(df: DataFrame, col: str, made: Sequence[str]) -> list[str]:
+    """The columns that stay: all but the JSON column and those made anew."""
+    gone = {name.lower() for name in (col, *made)}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def unnest_rows(
     df: DataFrame, col: str, path: str = documents.ROOT, keys: Sequence[str] | None = None
 ) -> DataFrame:
@@ -21,27 +27,29 @@ def unnest_rows(
 
     With ``keys`` every element gives one text column per key; otherwise the
     element itself is the text column ``value``.  Rows without an array give
-    no rows.  The other columns are kept; there is no shuffle.
+    no rows.  The other columns are kept, unless a new one has their name.
+    There is no shuffle.
     """
     doc = documents.document_of(df, col)
-    others = [c for c in df.columns if c != col]
+    made = ["value"] if keys is None else list(keys)
+    others = _others(df, col, ["pos", *made])
     if keys is None:
         items = F.try_variant_get(doc, path, "array<variant>")
-        return df.select(*others, F.posexplode(items).alias("pos", "value")).withColumn(
-            "value", F.col("value").cast("string")
-        )
-    exploded = df.select(
-        *others, F.posexplode(documents.records(doc, path, keys)).alias("pos", "__record")
+        cells = [F.col("__item").cast("string").alias("value")]
+    else:
+        items = documents.records(doc, path, made)
+        cells = [F.col("__item")[k].alias(k) for k in made]
+    return df.select(*others, F.posexplode(items).alias("pos", "__item")).select(
+        *others, "pos", *cells
     )
-    return exploded.select(*others, "pos", *[F.col("__record")[k].alias(k) for k in keys])
 
 
 def unnest_entries(df: DataFrame, col: str, path: str = documents.ROOT) -> DataFrame:
     """One row per entry of the object at ``path``: ``key`` and text ``value``."""
     entries = documents.object_map(documents.document_of(df, col), path)
-    others = [c for c in df.columns if c != col]
-    return df.select(*others, F.explode(entries).alias("key", "value")).withColumn(
-        "value", F.col("value").cast("string")
+    others = _others(df, col, ["key", "value"])
+    return df.select(*others, F.explode(entries).alias("key", "__item")).select(
+        *others, "key", F.col("__item").cast("string").alias("value")
     )
 
 

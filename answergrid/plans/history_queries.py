@@ -21,12 +21,11 @@ from answergrid.plans.registry import query, table
 from answergrid.sources import (
     Run,
     append_history_files,
+    import_files,
     new_path,
-    read_grid,
-    read_head,
     read_history_files,
 )
-from answergrid.streaming import append_stream, below_header, stream_files
+from answergrid.streaming import append_stream, known_header, stream_files
 
 FIELDS = ["segment", "No", "nation", "notes"]
 LOADED_AT = datetime(2024, 1, 15, 10, 30)
@@ -115,9 +114,7 @@ def grid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).write.text(f"{path}/part=0")
     rows.write.text(f"{path}/part=1")
     parts = [f"{path}/part=0", f"{path}/part=1"]
-    packed, _ = import_grid(
-        read_grid(spark, parts), "priority", ["key", "status"], head=read_head(spark, parts)
-    )
+    packed, _ = import_files(spark, parts, "priority", ["key", "status"])
     return (
         project_fields(packed, ["key", "status"])
         .groupBy("entity_id")
@@ -231,8 +228,8 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = customers.select(
         F.array(F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")), F.col("c_mktsegment")).alias("cells")
     )
-    grid, header = below_header(cells, {"name": 0, "segment": 1})
-    rows = pack_rows(grid, header, "name", ["segment"], loaded_at=LOADED_AT)
+    header = known_header({"name": 0, "segment": 1})
+    rows = pack_rows(cells, header, "name", ["segment"], loaded_at=LOADED_AT)
     path = new_path(spark, "stream-history")
     append_stream(rows, path, path.rsplit("/", 1)[-1]).awaitTermination()
     return _stamp_text(project_fields(read_history_files(spark, path), ["segment"]))

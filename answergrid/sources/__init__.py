@@ -1,6 +1,6 @@
 """Where tables, grids and histories come from and go to."""
 
-from answergrid.sources.grids import parse_range, read_export, read_grid, read_head, write_grid
+from answergrid.sources.grids import import_files, parse_range, read_export, read_grid, write_grid
 from answergrid.sources.history import (
     HISTORY_SCHEMA,
     HistoryMismatch,
@@ -15,7 +15,7 @@ from answergrid.sources.tables import jdbc_options, read_jdbc, read_query, sprea
 
 __all__ = [
     "HISTORY_SCHEMA", "HistoryMismatch", "Run", "append_history", "append_history_files",
-    "ensure_history", "jdbc_options", "new_path", "parse_range", "read_export", "read_grid",
-    "read_head", "read_history_files", "read_jdbc", "read_query", "shared_dir", "spread",
+    "ensure_history", "import_files", "jdbc_options", "new_path", "parse_range", "read_export", "read_grid",
+    "read_history_files", "read_jdbc", "read_query", "shared_dir", "spread",
     "write_grid",
 ]

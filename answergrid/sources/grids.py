@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answergrid.operators.export import ROW_CAP, as_text, capped
-from answergrid.operators.ingest import row_literal
+from answergrid.operators.ingest import (
+    Header,
+    HeaderNotFound,
+    find_header,
+    import_grid,
+    pack_rows,
+    row_literal,
+)
 
 # Fixed value: rows of one written batch.
 BATCH_ROWS = 10_000
@@ -87,20 +94,22 @@ def read_grid(
     width: int | None = None,
     sep: str = ",",
     multi_line: bool = False,
+    without: str | None = None,
 ) -> DataFrame:
-    """``(row_no, cells)`` of grid files.
+    """``(row_no, cells)`` of grid files, except the file ``without``.
 
     ``row_no`` orders the rows: by file, by place in the file.  It is a struct,
-    so no pass over the data is needed to number rows.  Rows may be ragged;
-    missing cells are NULL.  The width comes from ``width``, from the range, or
-    from one more pass over the lines.  A range that ends at a row keeps the
+    so no pass over the data is needed to number rows.  Rows may be ragged:
+    missing cells are NULL, cells beyond the width are left out.  The width is
+    the lesser of ``width`` and the range's, or found by one more pass over the
+    lines.  A range that ends at a row keeps the
     first rows in that order.
 
     Lines are split across tasks.  Cells with line breaks need ``multi_line``,
     with a known width; then one task reads each file.
     """
     area = parse_range(cell_range) if cell_range else CellRange()
-    width = area.end_column or width
+    width = min((w for w in (area.end_column, width) if w), default=None)
     lines = spark.read.text(path)
     if width is None:
         if multi_line:
@@ -115,10 +124,12 @@ def read_grid(
         F.monotonically_increasing_id().alias("line"),
     ).alias("row_no")
     if multi_line:
-        rows = spark.read.csv(path, schema=schema, multiLine=True, **options)
-        rows = rows.select(row_no, F.struct(*names).alias("row"))
+        rows, row = spark.read.csv(path, schema=schema, multiLine=True, **options), F.struct(*names)
     else:
-        rows = lines.select(row_no, F.from_csv("value", schema, options).alias("row"))
+        rows, row = lines, F.from_csv("value", schema, options)
+    if without is not None:
+        rows = rows.where(F.col("_metadata.file_path") != without)
+    rows = rows.select(row_no, row.alias("row"))
     cells = F.array(*[F.col("row")[n] for n in names[area.first_column :]])
     grid = rows.select("row_no", cells.alias("cells"))
     last = _nth_row(grid, area.end_row) if area.end_row else None
@@ -130,9 +141,45 @@ def read_grid(
     return grid
 
 
-def read_head(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """The first file of a grid: where a header search should begin."""
-    return read_grid(spark, min(spark.read.text(path).inputFiles()), **options)
+def import_files(
+    spark: SparkSession,
+    path: str | list[str],
+    id_field: str,
+    fields: list[str],
+    *,
+    cell_range: str | None = None,
+    width: int | None = None,
+    sep: str = ",",
+    multi_line: bool = False,
+    **packing,
+) -> tuple[DataFrame, Header]:
+    """Find the header of grid files and pack the rows below it.
+
+    The header is nearly always in the first file, so that file is searched
+    first.  All other files are then read once, and only as far as the last
+    column that holds a wanted field.  A file's rows are numbered anew by every
+    reading, so the first file and the others stay apart.
+    """
+    area = parse_range(cell_range) if cell_range else CellRange()
+    options = {"cell_range": cell_range, "sep": sep, "multi_line": multi_line}
+    first = min(spark.read.text(path).inputFiles())
+    place = spark.read.text(first).select("_metadata.file_path").first()
+    all_rows = area.first_row == 0 and area.end_row is None
+    if all_rows and place is not None:
+        head = read_grid(spark, first, width=width, **options)
+        try:
+            header = find_header(head, id_field, fields)
+        except HeaderNotFound:
+            pass
+        else:
+            used = area.first_column + max(header.columns.values()) + 1
+            rest = read_grid(spark, path, width=used, without=place[0], **options)
+            packed = pack_rows(head, header, id_field, fields, **packing).unionByName(
+                pack_rows(rest, replace(header, row_no=None), id_field, fields, **packing)
+            )
+            return packed, header
+    grid = read_grid(spark, path, width=width, **options)
+    return import_grid(grid, id_field, fields, **packing)
 
 
 def write_grid(

@@ -1,5 +1,5 @@
 """Streams of files through the row-local operators."""
 
-from answergrid.streaming.streams import append_stream, below_header, stream_files, stream_grid
+from answergrid.streaming.streams import append_stream, known_header, stream_files, stream_grid
 
-__all__ = ["append_stream", "below_header", "stream_files", "stream_grid"]
+__all__ = ["append_stream", "known_header", "stream_files", "stream_grid"]

@@ -39,7 +39,7 @@ def stream_grid(
 ) -> DataFrame:
     """New grid files as a stream of ``cells``, without a row order.
 
-    Files of a stream have their header in a known place: see ``below_header``.
+    Such files come without header rows: see ``known_header``.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     reader = spark.readStream.schema(schema).options(sep=sep, quote='"', escape='"')
@@ -48,13 +48,12 @@ def stream_grid(
     return reader.csv(path).select(F.array(*schema.names).alias("cells"))
 
 
-def below_header(cells: DataFrame, columns: dict[str, int], missing: list[str] | None = None):
-    """A stream without header rows, and the header that describes it.
+def known_header(columns: dict[str, int], missing: list[str] | None = None) -> Header:
+    """The header of a stream, which has no row order to search one in.
 
-    ``pack_rows`` takes the two as they are.
+    ``pack_rows`` takes it with the stream and packs every row.
     """
-    grid = cells.select(F.lit(1).alias("row_no"), "cells")
-    return grid, Header(row_no=0, columns=columns, missing=missing or [])
+    return Header(row_no=None, columns=columns, missing=missing or [])
 
 
 def append_stream(

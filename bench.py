@@ -15,10 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from answergrid.functions import configure
-from answergrid.operators import fields_as_columns, import_grid
+from answergrid.operators import fields_as_columns
 from answergrid.plans import QUERIES, inputs
 from answergrid.plans.registry import table
-from answergrid.sources import new_path, read_grid, read_head, write_grid
+from answergrid.sources import import_files, new_path, write_grid
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -72,9 +72,7 @@ def import_lines(path: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fields = table(spark, sf_dir, "lineitem").columns
         parts = [f"{path}/a-header", f"{path}/b-rows"]
-        grid = read_grid(spark, parts, width=len(fields))
-        head = read_head(spark, parts, width=len(fields))
-        return import_grid(grid, "l_orderkey", fields[1:], head=head)[0]
+        return import_files(spark, parts, "l_orderkey", fields[1:], width=len(fields))[0]
 
     return run
 

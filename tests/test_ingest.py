@@ -12,11 +12,11 @@ from answergrid.sources import (
     Run,
     append_history,
     ensure_history,
+    import_files,
     jdbc_options,
     parse_range,
     read_export,
     read_grid,
-    read_head,
     shared_dir,
     spread,
     write_grid,
@@ -30,7 +30,8 @@ def grid(spark, *rows):
 
 
 def packed(df):
-    return sorted((r["entity_id"], json.loads(r["data"])) for r in df.collect())
+    rows = sorted((r["entity_id"], r["data"]) for r in df.collect())
+    return [(entity, json.loads(data)) for entity, data in rows]
 
 
 def test_header_below_title_rows(spark):
@@ -39,7 +40,6 @@ def test_header_below_title_rows(spark):
     assert header.row_no == 2
     assert header.columns == {"candidate_email": 1, "STATUS": 2}
     assert header.missing == ["gone"]
-    assert find_header(g, "status", [], head=g.where("row_no < 1")).row_no == 2
 
 
 def test_no_header(spark):
@@ -117,9 +117,24 @@ def test_grid_files(spark, tmp_path):
     assert [r["cells"] for r in part] == [[" padded ", None], [None, None], ["x", "y"]]
     assert read_grid(spark, path, cell_range="A7:A9").count() == 0
     assert read_grid(spark, path, cell_range="A1:B1000").count() == 6
-    assert read_head(spark, path).count() == 4
-    imported, _ = import_grid(read_grid(spark, path), "ID", ["id"], head=read_head(spark, path))
-    assert [e for e, _ in packed(imported)] == ["1", "2", "3", "4"]
+    for area in (None, "A:B", "A1:B100"):
+        imported, header = import_files(spark, path, "ID", ["id", "gone"], cell_range=area)
+        assert [e for e, _ in packed(imported)] == ["1", "2", "3", "4"]
+        assert header.missing == ["gone"]
+
+
+@pytest.mark.parametrize("header_file", ["a.csv", "c.csv"])
+def test_header_in_a_small_file_among_large_ones(spark, tmp_path, header_file):
+    (tmp_path / header_file).write_text("title\nid,v\n0,x\n", encoding="utf-8")
+    for name in {"a.csv", "b.csv", "c.csv", "d.csv"} - {header_file}:
+        lines = (f"{name}{i},v{i}\n" for i in range(300))
+        (tmp_path / name).write_text("".join(lines), encoding="utf-8")
+    rows, _ = import_files(spark, str(tmp_path), "ID", ["v"])
+    got = [e for e, _ in packed(rows)]
+    below = ["b.csv", "c.csv", "d.csv"] if header_file == "a.csv" else ["d.csv"]
+    assert got == sorted(["0", *[f"{name}{i}" for name in below for i in range(300)]])
+    with pytest.raises(HeaderNotFound):
+        import_files(spark, str(tmp_path), "absent", ["v"])
 
 
 def test_range_rows_over_many_blocks(spark, tmp_path):

@@ -4,7 +4,7 @@ from datetime import datetime
 
 from answergrid import fields_as_columns, pack_rows, project_fields
 from answergrid.sources import read_history_files
-from answergrid.streaming import append_stream, below_header, stream_files, stream_grid
+from answergrid.streaming import append_stream, known_header, stream_files, stream_grid
 
 
 def test_fields_of_a_stream_after_a_restart(spark, tmp_path):
@@ -32,8 +32,8 @@ def test_grid_stream_into_a_history(spark, tmp_path):
     source = tmp_path / "grids"
     source.mkdir()
     (source / "a.csv").write_text('a, x ,"n, 1"\n\nb\n,no id\n', encoding="utf-8")
-    grid, header = below_header(stream_grid(spark, str(source), 3), {"id": 0, "status": 1}, ["gone"])
-    rows = pack_rows(grid, header, "id", ["status", "gone"], loaded_at=datetime(2024, 1, 1))
+    header = known_header({"id": 0, "status": 1}, ["gone"])
+    rows = pack_rows(stream_grid(spark, str(source), 3), header, "id", ["status", "gone"], loaded_at=datetime(2024, 1, 1))
     sink = str(tmp_path / "history")
     append_stream(rows, sink, f"grids-{tmp_path.name}").awaitTermination()
     got = project_fields(read_history_files(spark, sink), ["status", "gone"]).drop("loaded_at_utc")
