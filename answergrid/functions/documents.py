@@ -42,7 +42,7 @@ def document(col: Column | str, dtype: T.DataType | None = None) -> Column:
 def document_of(df: DataFrame, name: str) -> Column:
     """The column ``name`` of ``df`` as a document, whatever its type."""
     configure(df.sparkSession)
-    return document(df[name], df.schema[name].dataType)
+    return document(name, df.select(name).schema[0].dataType)
 
 
 def _collide(keys: Sequence[str]) -> bool:
@@ -107,10 +107,13 @@ def field_text(doc: Column, key: str, path: str = ROOT) -> Column:
 
 
 def kind(doc: Column) -> Column:
-    """``object``, ``array``, ``string``, ``number``, ``boolean`` or ``null``."""
-    outer = F.regexp_extract(F.schema_of_variant(doc), "^[A-Z]+", 0)
+    """``object``, ``array``, ``string``, ``number``, ``boolean`` or ``null``.
+
+    Documents made from typed columns may also hold kinds such as ``date``.
+    """
+    outer = F.regexp_extract(F.schema_of_variant(doc), "^[A-Z_]+", 0)
     return (
-        F.when(outer.isin("OBJECT", "ARRAY", "STRING", "BOOLEAN"), F.lower(outer))
+        F.when(outer.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.lit("number"))
         .when(outer == "VOID", F.lit("null"))
-        .when(outer != "", F.lit("number"))
+        .otherwise(F.lower(outer))
     )

@@ -76,6 +76,8 @@ def fields_as_columns(
     wanted = dict(json_col) if isinstance(json_col, Mapping) else {json_col: list(titles or [])}
     chosen = _chosen_strategies(strategies, value_keys, match_keys, name_key, value_key, mode)
     all_titles = [title for column in wanted.values() for title in column]
+    if not all_titles:
+        return df
     names = iter(field_names(all_titles))
 
     parsed, prepared, results = {}, {}, {}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from answergrid import fields_as_columns, field_names, safe_name
+from answergrid import fields_as_columns, field_names, safe_name, unnest_pivot
 from answergrid.functions import strategies as S
 
 LIST = (
@@ -133,9 +133,18 @@ def test_custom_keys(spark):
 
 
 def test_keys_that_differ_in_case(spark):
-    df = spark.createDataFrame([('[{"Name":"Age","name":"Size","v":"1"}]',)], "j STRING")
+    docs = ['[{"Name":"Age","name":"Size","v":"1"}]', '[{"name":"Size"},{"Name":"Age","v":"2"}]']
+    df = spark.createDataFrame([(d,) for d in docs], "j STRING")
     wide = fields_as_columns(df, "j", ["age", "size"], match_keys=["name", "Name"], value_keys=["v"])
-    assert tuple(wide.select("age", "size").first()) == ("1", "1")
+    assert [tuple(r) for r in wide.select("age", "size").collect()] == [("1", "1"), ("2", "")]
+    pivot = unnest_pivot(df, "j", "name", "Name", ["Size"])
+    assert [r["size"] for r in pivot.collect()] == ["Age", None]
+
+
+def test_nested_column_and_no_titles(spark):
+    df = spark.createDataFrame([(LIST,)], "t STRING").select(F.struct("t").alias("payload"))
+    assert fields_as_columns(df, "payload.t", ["email"]).first()["email"] == "john@example.com"
+    assert fields_as_columns(df, "payload.t", []).columns == ["payload"]
 
 
 def test_optional_strategies(spark):

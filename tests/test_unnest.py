@@ -94,6 +94,12 @@ def test_profile(spark):
     assert long["sample"] is None
 
 
+def test_profile_of_a_typed_column(spark):
+    df = spark.sql("SELECT named_struct('d', DATE '2024-01-02', 'f', 1.5F) AS s")
+    got = {r["path"]: r["kind"] for r in profile_json(df, "s").collect()}
+    assert got == {"$": "object", "$.d": "date", "$.f": "number"}
+
+
 def test_schema_of_a_column(spark):
     df = frame(spark, '{"a":1}', '{"b":"t"}')
     assert json_schema(df, "j").first()[0] == "OBJECT<a: BIGINT, b: STRING>"
