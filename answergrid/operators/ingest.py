@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -88,12 +88,14 @@ def pack_rows(
 
     ``data`` is a JSON object of the fields in the caller's spelling and order,
     or under the names in ``rename``.  Blank rows and blank ids are skipped.
-    All rows of one load share one time.  Needs no shuffle and runs on streams.
+    All rows of one load share one time; one without a zone is UTC.  Needs no shuffle and runs on streams.
     """
     names = rename or {}
     cells = {names.get(f, f): _cell(header.columns.get(f)) for f in fields}
     stamp = F.current_timestamp() if loaded_at is None else loaded_at
-    stamp = stamp if isinstance(stamp, Column) else F.lit(stamp)
+    if isinstance(stamp, datetime):
+        aware = stamp if stamp.tzinfo else stamp.replace(tzinfo=timezone.utc)
+        stamp = F.lit(aware)
     filled = F.exists("cells", lambda c: strip(c) != "")
     if header.row_no is not None:
         filled &= F.col("row_no") > row_literal(header.row_no, grid.schema["row_no"].dataType)

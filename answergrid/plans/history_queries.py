@@ -42,7 +42,8 @@ _KEPT = """
 
 
 def _stamp_text(df: DataFrame) -> DataFrame:
-    stamp = F.date_format("loaded_at_utc", "yyyy-MM-dd HH:mm:ss")
+    in_utc = F.to_utc_timestamp("loaded_at_utc", F.current_timezone())
+    stamp = F.date_format(in_utc, "yyyy-MM-dd HH:mm:ss")
     return df.withColumn("loaded_at_utc", stamp)
 
 
