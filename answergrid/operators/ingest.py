@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -75,6 +77,12 @@ def _cell(position: int | None) -> Column:
     return F.coalesce(strip(F.get(F.col("cells"), F.lit(position))), F.lit(""))
 
 
+def _is_header(header: Header) -> Column:
+    """Whether a row has every field's name where the header has it."""
+    tests = [F.lower(_cell(p)) == F.lower(F.lit(f)) for f, p in header.columns.items()]
+    return reduce(and_, tests)
+
+
 def pack_rows(
     grid: DataFrame,
     header: Header,
@@ -83,11 +91,14 @@ def pack_rows(
     *,
     rename: Mapping[str, str] | None = None,
     loaded_at: datetime | Column | None = None,
+    repeated_headers: bool = False,
 ) -> DataFrame:
     """``(entity_id, data, loaded_at_utc)`` of the rows below the header.
 
     ``data`` is a JSON object of the fields in the caller's spelling and order,
     or under the names in ``rename``.  Blank rows and blank ids are skipped.
+    With ``repeated_headers`` so are rows that repeat the header, as grids of
+    many files have them.
     All rows of one load share one time; one without a zone is UTC.  Needs no shuffle and runs on streams.
     """
     names = rename or {}
@@ -99,6 +110,8 @@ def pack_rows(
     filled = F.exists("cells", lambda c: strip(c) != "")
     if header.row_no is not None:
         filled &= F.col("row_no") > row_literal(header.row_no, grid.schema["row_no"].dataType)
+    if repeated_headers:
+        filled &= ~_is_header(header)
     return (
         grid.where(filled)
         .select(
@@ -111,14 +124,11 @@ def pack_rows(
 
 
 def import_grid(
-    grid: DataFrame,
-    id_field: str,
-    fields: Sequence[str],
-    *,
-    rename: Mapping[str, str] | None = None,
-    loaded_at: datetime | Column | None = None,
+    grid: DataFrame, id_field: str, fields: Sequence[str], **packing
 ) -> tuple[DataFrame, Header]:
-    """Find the header and pack the rows; the header lists missing fields."""
+    """Find the header and pack the rows; the header lists missing fields.
+
+    ``packing`` are the options of ``pack_rows``.
+    """
     header = find_header(grid, id_field, fields)
-    rows = pack_rows(grid, header, id_field, fields, rename=rename, loaded_at=loaded_at)
-    return rows, header
+    return pack_rows(grid, header, id_field, fields, **packing), header

@@ -17,13 +17,14 @@ from answergrid.operators import (
     project_fields,
 )
 from answergrid.plans import inputs
-from answergrid.plans.registry import query, table
+from answergrid.plans.registry import documents_of, query, table
 from answergrid.sources import (
     Run,
     append_history_files,
     import_files,
     new_path,
     read_history_files,
+    write_grid,
 )
 from answergrid.streaming import append_stream, known_header, stream_files
 
@@ -153,6 +154,31 @@ def history_append_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamp_text(latest_fields(read_history_files(spark, path), ["segment", "nation"]))
 
 
+@query(
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, o_orderpriority AS priority,
+           strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS placed, '' AS reviewed
+    FROM orders
+    """
+)
+def export_then_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted fields written as a grid of many files, then imported again."""
+    orders = documents_of(spark, sf_dir, "orders")
+    df = orders.select("o_orderkey", "o_orderdate", inputs.order_json().alias("answers"))
+    wide = fields_as_columns(df, "answers", ["Priority"]).drop("answers")
+    path = new_path(spark, "round-trip")
+    write_grid(wide, path, row_limit=None)
+    rows, _ = import_files(
+        spark,
+        path,
+        "o_orderkey",
+        ["priority", "o_orderdate", "reviewed"],
+        rename={"o_orderdate": "placed"},
+        repeated_headers=True,
+    )
+    return project_fields(rows, ["priority", "placed", "reviewed"]).drop("loaded_at_utc")
+
+
 _LATEST_EVENT = """
     SELECT DISTINCT ON (user_id) user_id, event_id, event_type,
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen

@@ -159,6 +159,9 @@ def import_files(
     first.  All other files are then read once, and only as far as the last
     column that holds a wanted field.  A file's rows are numbered anew by every
     reading, so the first file and the others stay apart.
+
+    ``packing`` are the options of ``pack_rows``; what ``write_grid`` wrote has
+    ``repeated_headers``.
     """
     area = parse_range(cell_range) if cell_range else CellRange()
     options = {"cell_range": cell_range, "sep": sep, "multi_line": multi_line}

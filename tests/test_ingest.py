@@ -78,6 +78,22 @@ def test_packing(spark):
     assert len({r["loaded_at_utc"] for r in now.collect()}) == 1
 
 
+def test_repeated_headers(spark):
+    g = grid(spark, ["id", "Status"], ["a", "x"], [" ID ", "status"], ["id", "y"])
+    rows, _ = import_grid(g, "id", ["status"], repeated_headers=True)
+    assert packed(rows) == [("a", {"status": "x"}), ("id", {"status": "y"})]
+
+
+def test_load_time_without_a_zone_is_utc(spark):
+    g = grid(spark, ["id"], ["a"])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows, _ = import_grid(g, "id", ["id"], loaded_at=AT)
+        assert rows.selectExpr("unix_seconds(loaded_at_utc)").first()[0] == 1705314600
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_renaming(spark):
     g = grid(spark, ["id", "position"], ["a", "p"])
     rows, _ = import_grid(g, "id", ["position", "id"], rename={"position": "job"})

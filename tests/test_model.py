@@ -7,7 +7,7 @@ import re
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from answergrid import fields_as_columns, field_names
+from answergrid import field_names, fields_as_columns, register_sql_functions
 
 TITLES = ["Age", "age group", "a_e", "100%", "Name", "e", "Ваше имя", "x" * 40, "%", "no such"]
 MATCH = ["question_title", "title", "question", "name"]
@@ -90,6 +90,18 @@ def test_many_random_documents(spark):
     check(spark, [random_document(r) for _ in range(20_000)])
 
 
+def test_sql_function_on_random_documents(spark):
+    r = random.Random(11)
+    docs = [random_document(r) for _ in range(3_000)]
+    rows = [(i, json.dumps(d, ensure_ascii=False), r.choice(TITLES)) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "id INT, j STRING, t STRING")
+    register_sql_functions(spark)
+    got = spark.sql("SELECT id, json_field(j, t) AS by_column, json_field(j, 'Age') AS age FROM {df}", df=df)
+    for row, (i, _, title) in zip(got.orderBy("id").collect(), rows):
+        assert row["by_column"] == model(docs[i], title), (docs[i], title)
+        assert row["age"] == model(docs[i], "Age")
+
+
 scalars = st.one_of(st.none(), st.booleans(), st.integers(-9, 9), st.sampled_from(TEXTS))
 records = st.dictionaries(st.sampled_from(ALL_KEYS), scalars, max_size=4)
 elements = st.lists(st.one_of(records, scalars, st.lists(scalars, max_size=2)), max_size=4)
