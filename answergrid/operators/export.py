@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,39 @@ from answergrid.functions.text import all_text
 # Fixed value: rows of an export that sets no limit of its own.
 ROW_CAP = 50_000
 
+FEWEST_TASKS = 200
 
-def capped(df: DataFrame, row_limit: int | None = ROW_CAP) -> DataFrame:
+
+def _in_few_tasks(df: DataFrame) -> DataFrame:
+    """The same rows in as many tasks as keep the whole cluster busy.
+
+    A task then goes through many splits, stops once it has the capped number
+    of rows, and hands on that many at most.  No shuffle; fewer partitions stay
+    as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(FEWEST_TASKS, 2 * cores))
+
+
+def capped(
+    df: DataFrame,
+    row_limit: int | None = ROW_CAP,
+    *,
+    order: Sequence[Column | str] | None = None,
+    any_rows: bool = False,
+) -> DataFrame:
     """At most ``row_limit`` rows; ``None`` for a query with its own limit.
 
-    On a sorted result Spark keeps only the first rows of every partition.
+    With ``order``, the first rows in that order: every task keeps its first
+    rows only.  With ``any_rows`` any rows will do: tasks stop reading once
+    they have enough.  Without either, the rows are cut in the order that
+    ``df`` already has, for which every partition sends up to the cap.
     """
-    return df if row_limit is None else df.limit(row_limit)
+    if row_limit is None:
+        return df if order is None else df.orderBy(*order)
+    if order is not None:
+        return _in_few_tasks(df).orderBy(*order).limit(row_limit)
+    return (_in_few_tasks(df) if any_rows else df).limit(row_limit)
 
 
 def as_text(df: DataFrame) -> DataFrame:

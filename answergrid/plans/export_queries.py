@@ -59,7 +59,7 @@ def export_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default cap on a sorted result."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return capped(orders.orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    return capped(orders, order=[F.col("o_totalprice").desc(), "o_orderkey"])
 
 
 @query(
@@ -71,8 +71,26 @@ def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_cap_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cap of the caller's on the largest table."""
     lines = table(spark, sf_dir, "lineitem")
-    best = lines.orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey")
-    return capped(best, 1000).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey"]
+    return capped(lines, 1000, order=order).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(
+    """
+    SELECT least(count(*), 20000) AS n_rows, TRUE AS all_known
+    FROM lineitem
+    """
+)
+def row_cap_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cap on the largest table where any rows will do."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = table(spark, sf_dir, "lineitem").select(*keys)
+    taken = capped(lines, 20_000, any_rows=True).groupBy(*keys).agg(F.count("*").alias("taken"))
+    # The cap bounds the broadcast side, so the table itself is not shuffled.
+    found = lines.join(F.broadcast(taken), keys).groupBy(*keys, "taken").agg(F.count("*").alias("n"))
+    return found.agg(
+        F.sum("taken").alias("n_rows"), F.bool_and(F.col("taken") <= F.col("n")).alias("all_known")
+    )
 
 
 @query(
@@ -90,7 +108,7 @@ def export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "priority", "o_orderdate"
     )
     path = new_path(spark, "export")
-    write_grid(result.orderBy("o_orderkey"), path)
+    write_grid(result, path, order=["o_orderkey"])
     back = read_export(spark, path, header_of(result))
     return back.agg(
         F.lit(",".join(back.columns)).alias("header"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -191,16 +192,19 @@ def write_grid(
     *,
     include_headers: bool = True,
     row_limit: int | None = ROW_CAP,
+    order: Sequence[Column | str] | None = None,
+    any_rows: bool = False,
     batch_rows: int = BATCH_ROWS,
     mode: str = "overwrite",
 ) -> None:
     """Write a query result as text, replacing what was there.
 
-    Tasks write in parallel, at most ``batch_rows`` rows per file.  Every file
-    has the header, so any of them can be read alone.
+    ``row_limit``, ``order`` and ``any_rows`` are those of ``capped``.  Tasks
+    write in parallel, at most ``batch_rows`` rows per file.  Every file has
+    the header, so any of them can be read alone.
     """
     (
-        as_text(capped(df, row_limit))
+        as_text(capped(df, row_limit, order=order, any_rows=any_rows))
         .write.mode(mode)
         .options(
             header=include_headers,
