@@ -158,7 +158,8 @@ def missing_by_day_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     events = table(spark, sf_dir, "events").select("ts", answers.alias("answers"))
     parsed = events.withColumn("doc", documents.document_of(events, "answers"))
-    emails = parsed.select("ts", F.coalesce(documents.field_text(F.col("doc"), "email", "$.hidden"), F.lit("")).alias("email"))
+    email = F.coalesce(documents.field_text(F.col("doc"), "email", "$.hidden"), F.lit(""))
+    emails = parsed.select("ts", email.alias("email"))
     as_of = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
     return missing_by_day(emails, "ts", "email", as_of=as_of)
 
@@ -207,7 +208,8 @@ def join_filter_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS open
+    SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n,
+           count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS open
     FROM orders GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 DESC
     """
 )
@@ -242,7 +244,8 @@ def distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 400000)
     SELECT n_name, count(*) AS n FROM (
-        SELECT n_name FROM big JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        SELECT n_name FROM big JOIN customer ON o_custkey = c_custkey
+        JOIN nation ON c_nationkey = n_nationkey
     ) GROUP BY n_name ORDER BY n DESC, n_name LIMIT 5
     """
 )
@@ -294,7 +297,8 @@ def lateral_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT event_id, json_extract_string(props, '$.k') AS k_text, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+    SELECT event_id, json_extract_string(props, '$.k') AS k_text,
+           CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
            CASE WHEN lower(event_type) LIKE '%e%' THEN 'e' ELSE coalesce(event_type, '') END AS kind,
            TRUE AS has_k, 'object' AS root, 'number' AS k_kind, CAST(value AS VARCHAR) AS value_text
     FROM events

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from answergrid.functions import documents, matching, strategies
 from answergrid.operators import fields_as_columns, register_sql_functions
 from answergrid.plans import inputs
-from answergrid.plans.inputs import array_of, item, list_of, object_of
+from answergrid.plans.inputs import array_of, item, list_of, object_of, text_of
 from answergrid.plans.registry import documents_of, query, table
 
 
@@ -126,16 +126,26 @@ def flexible_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strategy_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight document shapes: which part decides, and what ends the search."""
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    in_list = array_of(item(title="Priority", value=priority))
     shapes = [
         # The list decides even when the root matches too.
-        F.concat(F.lit('{"title":"Priority","value":"root","list":'), in_list, F.lit("}")),
-        # No match in the list: the root does.
-        F.concat(F.lit('{"list":[{"title":"Other"}],"name":"priority","text":"x","value":'),
-                 F.to_json(F.struct(status.alias("s"))).substr(F.lit(6), F.length(F.to_json(F.struct(status.alias("s")))) - 6),
-                 F.lit("}")),
+        object_of(
+            title=F.lit('"Priority"'),
+            value=F.lit('"root"'),
+            list=array_of(item(title="Priority", value=priority)),
+        ),
+        # No match in the list: the root does, value before text.
+        object_of(
+            list=F.lit('[{"title":"Other"}]'),
+            name=F.lit('"priority"'),
+            text=F.lit('"x"'),
+            value=text_of(status),
+        ),
         # Null is skipped.
-        list_of(F.concat(F.lit('{"value_text":null,'), F.substring(item(title="Priority", answer=priority), 2, 1000))),
+        list_of(
+            object_of(
+                value_text=F.lit("null"), title=F.lit('"Priority"'), answer=text_of(priority)
+            )
+        ),
         # An empty text is a value.
         list_of(item(title="Priority", value_text="", answer=priority)),
         # A root array: value before answer.
@@ -234,7 +244,8 @@ def positional_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT s_suppkey, s_name AS picked,
-           s_nationkey % 2 = 0 AS matched, left('A supplier title of more than thirty characters', 30) AS pattern
+           s_nationkey % 2 = 0 AS matched,
+           left('A supplier title of more than thirty characters', 30) AS pattern
     FROM supplier
     """
 )

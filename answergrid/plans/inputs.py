@@ -18,6 +18,11 @@ def item(**values: Column | str) -> Column:
     return F.to_json(F.struct(*fields))
 
 
+def text_of(col: Column) -> Column:
+    """A JSON string."""
+    return F.regexp_replace(F.to_json(F.array(col)), r"^\[|\]$", "")
+
+
 def array_of(*items: Column) -> Column:
     """A JSON array; NULL items are left out."""
     return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))

@@ -157,12 +157,14 @@ def profile_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH d AS (SELECT doc_id, text, lang, n_chars, doc_id % 3 AS shape FROM documents)
-    SELECT '$' AS path, CASE WHEN shape = 0 THEN 'array' WHEN shape = 1 THEN 'object' ELSE 'string' END AS kind,
+    SELECT '$' AS path,
+           CASE WHEN shape = 0 THEN 'array' WHEN shape = 1 THEN 'object' ELSE 'string' END AS kind,
            count(*) AS n_rows, min(CASE WHEN shape = 2 AND len(lang) < 100 THEN lang END) AS sample
     FROM d GROUP BY 2
     UNION ALL SELECT '$[*]', 'object', count(*), NULL FROM d WHERE shape = 0
     UNION ALL SELECT '$[*]', 'null', count(*), NULL FROM d WHERE shape = 0
-    UNION ALL SELECT '$[*].text', 'string', count(*), min(CASE WHEN len(text) < 100 THEN text END) FROM d WHERE shape = 0
+    UNION ALL SELECT '$[*].text', 'string', count(*), min(CASE WHEN len(text) < 100 THEN text END)
+    FROM d WHERE shape = 0
     UNION ALL SELECT '$[*].n', 'number', count(*), min(CAST(n_chars AS VARCHAR)) FROM d WHERE shape = 0
     UNION ALL SELECT '$.lang', 'string', count(*), min(lang) FROM d WHERE shape = 1
     UNION ALL SELECT '$.short', 'boolean', count(*), min(CAST(n_chars < 500 AS VARCHAR)) FROM d WHERE shape = 1
@@ -179,7 +181,12 @@ def profile_mixed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_json(documents_of(spark, sf_dir, "documents").select(doc.alias("doc")), "doc")
 
 
-@query("SELECT 'OBJECT<k: BIGINT>' AS json_schema")
+@query(
+    """
+    SELECT 'OBJECT<' || string_agg(k || ': BIGINT', ', ' ORDER BY k) || '>' AS json_schema
+    FROM (SELECT DISTINCT unnest(json_keys(props)) AS k FROM events)
+    """
+)
 def column_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The common schema of a whole column."""
     return json_schema(documents_of(spark, sf_dir, "events"), "props")

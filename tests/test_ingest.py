@@ -4,8 +4,16 @@ import json
 from datetime import datetime
 
 import pytest
-
-from answergrid import HeaderNotFound, find_header, import_grid, latest_fields, latest_per_entity
+from pyspark.sql import functions as F
+
+from answergrid import (
+    HeaderNotFound,
+    find_header,
+    import_grid,
+    latest_fields,
+    latest_per_entity,
+    strip,
+)
 from answergrid.sources import (
     HISTORY_SCHEMA,
     HistoryMismatch,
@@ -94,6 +102,13 @@ def test_load_time_without_a_zone_is_utc(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_every_kind_of_white_space_is_stripped(spark):
+    spaces = [chr(c) for c in range(0x10000) if chr(c).isspace()]
+    texts = [f"{s}a{s}b{s}{s}" for s in spaces] + ["\u200bx\u200b", "\ufeffy", "", "   "]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").select(strip(F.col("t")))
+    assert [r[0] for r in df.collect()] == [t.strip() for t in texts]
+
+
 def test_renaming(spark):
     g = grid(spark, ["id", "position"], ["a", "p"])
     rows, _ = import_grid(g, "id", ["position", "id"], rename={"position": "job"})
@@ -169,6 +184,9 @@ def test_line_breaks_in_cells(spark, tmp_path):
     (tmp_path / "m.csv").write_text('id,t\n1,"two\nlines"\n', encoding="utf-8")
     g = read_grid(spark, str(tmp_path), width=2, multi_line=True)
     assert [r["cells"] for r in g.orderBy("row_no").collect()] == [["id", "t"], ["1", "two\nlines"]]
+    (tmp_path / "n.csv").write_text('2," more\n\nlines ",extra\n', encoding="utf-8")
+    rows, _ = import_files(spark, str(tmp_path), "id", ["t"], width=3, multi_line=True)
+    assert packed(rows) == [("1", {"t": "two\nlines"}), ("2", {"t": "more\n\nlines"})]
     with pytest.raises(ValueError):
         read_grid(spark, str(tmp_path), multi_line=True)
 
