@@ -29,7 +29,7 @@ def _entries(doc: Column, prefix: str) -> Column:
 def _nodes(doc: Column, path: str) -> Column:
     """The part at ``path``, its elements or keys, and its elements' keys."""
     empty = F.array().cast(_NODE)
-    part = F.try_variant_get(doc, path, "variant")
+    part = doc if path == documents.ROOT else F.try_variant_get(doc, path, "variant")
     elements = F.try_variant_get(doc, path, "array<variant>")
     return F.concat(
         F.array(F.struct(F.lit(path).alias("path"), part.alias("node"))),
@@ -67,12 +67,13 @@ def profile_json(df: DataFrame, col: str, path: str = documents.ROOT) -> DataFra
     is the least of the short plain values.  Start deeper with ``path``.
     Values are counted before the shuffle, so a common path moves few rows.
     """
-    kinds = _exploded(df, col, path).select(
-        "path", documents.kind(F.col("node")).alias("kind"), F.col("node").cast("string").alias("t")
-    )
-    plain = F.col("kind").isin("string", "number", "boolean") & (F.length("t") < SHOWN_LENGTH)
-    return kinds.groupBy("path", "kind").agg(
-        F.count("*").alias("n_rows"), F.min(F.when(plain, F.col("t"))).alias("sample")
+    kinds = _exploded(df, col, path).withColumn("kind", documents.kind(F.col("node")))
+    # Only plain values become text: a nested one could be a whole document.
+    plain = F.col("kind").isin("string", "number", "boolean")
+    texts = kinds.select("path", "kind", F.when(plain, F.col("node").cast("string")).alias("text"))
+    return texts.groupBy("path", "kind").agg(
+        F.count("*").alias("n_rows"),
+        F.min(F.when(F.length("text") < SHOWN_LENGTH, F.col("text"))).alias("sample"),
     )
 
 
