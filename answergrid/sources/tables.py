@@ -14,6 +14,8 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     Parsing documents costs far more than reading them, so a file read by one
     task keeps one core busy for long.  A table that already has a split per
     core, as every large one has, is returned as it is, without a shuffle.
+    Meant for tables as they are read: counting the splits of a query that
+    shuffles would already run its first stages.
     """
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
