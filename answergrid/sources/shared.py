@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,17 +12,14 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a folder of its own; a cluster
-    must name one, because a folder of one machine would not outlive it.
+    Where it is unset, a folder in the warehouse, which all machines share too;
+    the setting is then made, so that all that follows agrees.
     """
     named = spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="answergrid-")
-    spark.conf.set(SETTING, made)
-    return made
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        spark.conf.set(SETTING, named)
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
