@@ -13,11 +13,11 @@ all documents in ``BUCKETS`` hash buckets of words: a table of fixed size.
 3. Every bucket's members are verified against its smallest member: the exact
    weighted Jaccard similarity of the whole texts must reach the threshold. What
    passes is connected, with labels that travel along links.
-4. Links that this leaves out can only join two classes. So all pairs of different
-   classes in a bucket are verified as well, but for those that cannot reach the
-   threshold by their total weights, or that agree on fewer than ``LEAST_AGREED``
-   samples (a similar pair does with a probability of about 10^-7). Then classes are
-   connected again. Copies are never expanded into all pairs.
+4. Links that this leaves out can only join two classes. So buckets with members of
+   several classes are dealt into blocks of bounded size, and each pair of blocks is
+   compared in a task, by the same exact similarity over an index of its shingles.
+   A task gives out the links that join classes, never pairs. Then classes are
+   connected again. Copies are not expanded into pairs.
 
 A pair of similarity 0.8 shares a band with a probability above 0.998.
 
@@ -44,7 +44,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 12
 ROWS = 4
-LEAST_AGREED = 24
+BLOCK_ROWS = 256
+BLOCK_CHARS = 4_000_000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 
@@ -135,7 +136,7 @@ def samples(shingle: np.ndarray, weight: np.ndarray, first: np.ndarray, count: i
     return out
 
 
-_SIGNED = "doc_id long, key binary, weight double, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, key binary, weight double, bands array<long>"
 
 
 def _sign(shared: Broadcast):
@@ -150,16 +151,14 @@ def _sign(shared: Broadcast):
             total = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(first)), weight, batch.num_rows)
             empty = np.diff(first) == 0
             lists = bands.view(np.int64).tolist()
-            sketch = (drawn & np.uint64(0xFF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     texts_of(batch, "doc_id").cast(pa.int64()),
                     pa.array(text_keys(column, hashes, first_word), pa.binary()),
                     pa.array(total),
                     pa.array([[] if e else x for e, x in zip(empty, lists, strict=True)], pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
                 ],
-                ["doc_id", "key", "weight", "bands", "sketch"],
+                ["doc_id", "key", "weight", "bands"],
             )
 
     return sign
@@ -235,9 +234,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = stored(plain.mapInArrow(_sign(shared), _SIGNED), "signatures")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))).alias("first")
     texts_seen = signed.groupBy("key").agg(
-        smallest, F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
+        smallest, F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands")
     )
-    distinct = stored(texts_seen.select("key", F.col("first.doc_id").alias("doc_id"), "weight", "bands", "sketch"), "texts")
+    distinct = stored(texts_seen.select("key", F.col("first.doc_id").alias("doc_id"), "weight", "bands"), "texts")
     members = distinct.select("key", "weight", F.posexplode("bands").alias("band", "value"))
     buckets = stored(
         members.groupBy("band", "value")
@@ -257,8 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = _texts(plain, asked)
     links = _verified(stars, texts, shared, threshold, "star-links")
     classes = components(links)
-    across = _across(in_buckets, distinct, classes, stars, threshold)
-    more = _verified(across, texts, shared, threshold, "class-links")
+    more = _across(in_buckets, classes, texts, shared, threshold)
     if not more.isEmpty():
         classes = components(links.unionByName(more))
     named = distinct.select("key", "doc_id").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
@@ -285,35 +283,69 @@ def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return stored(keyed.groupBy("key").agg(F.any_value("text").alias("text")), "candidate-texts")
 
 
-def _across(in_buckets: DataFrame, distinct: DataFrame, classes: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different classes that share a bucket and may be similar."""
-    named = in_buckets.select("band", "value", "key", "weight").join(classes, "key", "left")
-    named = stored(named.withColumn("class", F.coalesce("class", "key")), "bucket-classes")
-    mixed_buckets = named.groupBy("band", "value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    open_ = named.join(mixed_buckets.select("band", "value"), ["band", "value"])
-    open_ = stored(open_, "open-buckets")
-    left = open_.select("band", "value", F.col("key").alias("a"), F.col("class").alias("a_class"), F.col("weight").alias("a_weight"))
-    right = open_.select("band", "value", F.col("key").alias("b"), F.col("class").alias("b_class"), F.col("weight").alias("b_weight"))
-    pairs = (
-        left.join(right, ["band", "value"])
-        .where("a < b and a_class <> b_class")
-        .where(F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * (threshold - 1e-9))
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+def links_between(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+    """Links that join the classes of a few texts: the similar pairs of different classes, but for those that lead where others do."""
+    keys, classes = table.column("key").to_pylist(), table.column("class").to_pylist()
+    shingle, weight, first, *_ = vectors(table.column("text").combine_chunks(), idf)
+    sizes, n = np.diff(first), len(keys)
+    total = np.bincount(np.repeat(np.arange(n), sizes), weight, n)
+    row = np.repeat(np.arange(n), sizes)
+    order = np.argsort(shingle, kind="stable")
+    postings, owners, weights = shingle[order], row[order], weight[order]
+    low, high = np.searchsorted(postings, shingle, "left"), np.searchsorted(postings, shingle, "right")
+    number = {c: i for i, c in enumerate(dict.fromkeys(classes))}
+    own = np.array([number[c] for c in classes])
+    head = list(range(len(number)))
+
+    def top(c: int) -> int:
+        while head[c] != c:
+            head[c] = c = head[head[c]]
+        return c
+
+    largest = np.bincount(own, minlength=len(number)).argmax() if n else 0
+    found = []
+    for i in np.flatnonzero(own != largest):
+        spans = slice(first[i], first[i + 1])
+        lengths = high[spans] - low[spans]
+        at = np.repeat(low[spans], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        shared = np.bincount(owners[at], np.minimum(weights[at], np.repeat(weight[spans], lengths)), n)
+        near = shared >= threshold * (total[i] + total - shared) - 1e-12
+        for j in np.flatnonzero(near & (own != own[i]) & (total > 0)):
+            x, y = top(own[i]), top(own[j])
+            if x != y:
+                head[x] = y
+                found.append((keys[i], keys[j]))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+
+def _across(in_buckets: DataFrame, classes: DataFrame, texts: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
+    """Links between different classes that share a bucket.
+
+    The members of a bucket with several classes are dealt into blocks of about
+    ``BLOCK_ROWS`` texts and ``BLOCK_CHARS`` characters; each pair of blocks is compared
+    in a task of its own, which gives out links, not pairs.
+    """
+    named = in_buckets.select("band", "value", "key").join(classes, "key", "left")
+    sized = texts.select("key", F.length("text").alias("chars"))
+    named = stored(named.join(sized, "key").withColumn("class", F.coalesce("class", "key")), "bucket-classes")
+    several = (
+        named.groupBy("band", "value")
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+        .where("low <> high")
+        .select("band", "value", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
     )
-    sketches = distinct.select("key", "sketch")
-    with_sketches = pairs.join(sketches.toDF("a", "a_sketch"), "a").join(sketches.toDF("b", "b_sketch"), "b")
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(texts_of(batch, c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                for c in ("a_sketch", "b_sketch")
-            )
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREED))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = named.join(several, ["band", "value"]).withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select(
+        "band", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "key", "class"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        return links_between(table, shared.value, threshold)
 
-    return stored(with_sketches.select("a", "b", "a_sketch", "b_sketch").mapInArrow(agree, "a binary, b binary"), "class-pairs")
+    grouped = dealt.join(texts, "key").select("band", "value", "x", "y", "key", "class", "text").groupBy("band", "value", "x", "y")
+    return stored(grouped.applyInArrow(compare, "a binary, b binary"), "class-links")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
