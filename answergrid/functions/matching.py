@@ -18,9 +18,9 @@ ARRAY_VALUE_KEYS = (
 PATTERN_LENGTH = 30
 
 
-def make_pattern(title: str) -> str:
-    """The part of a title that is searched for."""
-    return title[:PATTERN_LENGTH]
+def make_pattern(title: str, length: int | None = None) -> str:
+    """The part of a title that is searched for: all of it, or its first ``length`` characters."""
+    return title[:length]
 
 
 def has_wildcards(pattern: str) -> bool:

@@ -4,29 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-# Lengths and prefix of generated names.
-LONGEST_NAME = 50
-KEPT_OF_LONG_NAME = 47
+# The length of a cut name without its position, and the prefix of generated names.
+POSITION_ROOM = 3
 NAME_PREFIX = "field_"
 
 
-def safe_name(title: str, index: int) -> str:
-    """A column name for the ``index``-th title.  Letters of any script stay."""
+def safe_name(title: str, index: int, max_length: int | None = None) -> str:
+    """A column name for the ``index``-th title.  Letters of any script stay.
+
+    A name longer than ``max_length`` is cut and gets its position.
+    """
     kept = "".join(c if c.isalnum() or c == "_" or c.isspace() else "_" for c in title)
     name = "_".join(kept.split()).strip("_").lower()
     if not name:
         return f"{NAME_PREFIX}{index}"
-    if len(name) > LONGEST_NAME:
-        name = f"{name[:KEPT_OF_LONG_NAME]}_{index}"
+    if max_length is not None and len(name) > max_length:
+        name = f"{name[: max_length - POSITION_ROOM]}_{index}"
     return NAME_PREFIX + name if name[0].isdigit() else name
 
 
-def field_names(titles: Sequence[str]) -> list[str]:
-    """One distinct name per title; a repeated name gets its position."""
-    names: list[str] = []
-    for index, title in enumerate(titles):
-        name = safe_name(title, index)
-        while name in names:
-            name = f"{name}_{index}"
-        names.append(name)
-    return names
+def apart(name: str, index: int, taken: set[str]) -> str:
+    """The name, with its position while another has it; upper and lower case are one."""
+    while name.lower() in taken:
+        name = f"{name}_{index}"
+    taken.add(name.lower())
+    return name
+
+
+def field_names(
+    titles: Sequence[str], taken: Sequence[str] = (), max_length: int | None = None
+) -> list[str]:
+    """One name per title, distinct from each other and from those ``taken``."""
+    known = {t.lower() for t in taken}
+    return [apart(safe_name(t, i, max_length), i, known) for i, t in enumerate(titles)]

@@ -63,6 +63,11 @@ def to_text(col: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def places(df: DataFrame) -> list[str]:
+    """A plain name per column, by place: names may repeat or hold dots."""
+    return [f"__{i}" for i in range(len(df.columns))]
+
+
 def all_text(df: DataFrame) -> list[Column]:
-    """Every column of ``df`` as cell text, under its own name."""
-    return [to_text(df[f.name], f.dataType).alias(f.name) for f in df.schema]
+    """Every column of ``df.toDF(*places(df))`` as cell text, under its name in ``df``."""
+    return [to_text(F.col(p), f.dataType).alias(f.name) for p, f in zip(places(df), df.schema, strict=True)]

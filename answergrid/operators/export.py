@@ -9,50 +9,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answergrid.functions.documents import configure
-from answergrid.functions.text import all_text
+from answergrid.functions.text import all_text, places
 
-# Fixed value: rows of an export that sets no limit of its own.
+# Fixed value: the usual cap of an export; nothing is cut unless it is asked for.
 ROW_CAP = 50_000
 
-FEWEST_TASKS = 200
-
-
-def _in_few_tasks(df: DataFrame) -> DataFrame:
-    """The same rows in as many tasks as keep the whole cluster busy.
-
-    A task then goes through many splits, stops once it has the capped number
-    of rows, and hands on that many at most.  No shuffle; fewer partitions stay
-    as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(FEWEST_TASKS, 2 * cores))
-
-
 def capped(
     df: DataFrame,
-    row_limit: int | None = ROW_CAP,
+    row_limit: int | None = None,
     *,
     order: Sequence[Column | str] | None = None,
-    any_rows: bool = False,
 ) -> DataFrame:
-    """At most ``row_limit`` rows; ``None`` for a query with its own limit.
+    """At most ``row_limit`` rows; all of them without a limit.
 
     With ``order``, the first rows in that order: every task keeps its first
-    rows only.  With ``any_rows`` any rows will do: tasks stop reading once
-    they have enough.  Without either, the rows are cut in the order that
-    ``df`` already has, for which every partition sends up to the cap.
+    rows only.  Without, the rows are cut in the order that ``df`` already has,
+    for which every partition sends up to the limit.
     """
-    if row_limit is None:
-        return df if order is None else df.orderBy(*order)
-    if order is not None:
-        return _in_few_tasks(df).orderBy(*order).limit(row_limit)
-    return (_in_few_tasks(df) if any_rows else df).limit(row_limit)
+    ordered = df if order is None else df.orderBy(*order)
+    return ordered if row_limit is None else ordered.limit(row_limit)
 
 
 def as_text(df: DataFrame) -> DataFrame:
     """Every value as cell text, NULL as an empty cell."""
     configure(df.sparkSession)
-    return df.select(*all_text(df))
+    return df.toDF(*places(df)).select(*all_text(df))
 
 
 def header_of(df: DataFrame) -> list[str]:

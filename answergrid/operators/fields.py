@@ -57,6 +57,7 @@ def fields_as_columns(
     value_key: str | None = None,
     mode: str = "compat",
     default: str | None = "",
+    pattern_length: int | None = None,
 ) -> DataFrame:
     """Add one text column per field title, found in a JSON column.
 
@@ -67,7 +68,9 @@ def fields_as_columns(
     The first strategy that finds the title decides; ``default`` is the value
     when none does.  ``value_keys`` and ``match_keys`` replace the keys of both
     built-in strategies.  ``name_key`` and ``value_key`` count only in
-    ``mode="keys"``, where they are the only keys.
+    ``mode="keys"``, where they are the only keys.  Strategies look for the whole
+    title, or for its first ``pattern_length`` characters.  A column of ``df`` is
+    never replaced: a title whose name is taken gets its position.
 
     The result is a chain of projections without a shuffle, so it also runs on
     streams.  Each document is parsed once, what its titles share is prepared
@@ -78,7 +81,7 @@ def fields_as_columns(
     all_titles = [title for column in wanted.values() for title in column]
     if not all_titles:
         return df
-    names = iter(field_names(all_titles))
+    names = iter(field_names(all_titles, df.columns))
 
     parsed, prepared, results = {}, {}, {}
     for i, (column, column_titles) in enumerate(wanted.items()):
@@ -86,9 +89,10 @@ def fields_as_columns(
         parsed[doc] = documents.document_of(df, column)
         for j, strategy in enumerate(chosen):
             if strategy.prepare:
-                own = [t for t in column_titles if strategy.applies(t)]
+                cut = [matching.make_pattern(t, pattern_length) for t in column_titles]
+                own = [t for t in cut if strategy.applies(t)]
                 prepared[f"{doc}_{j}"] = strategy.prepare(F.col(doc), own)
-        for title in column_titles:
+        for title in (matching.make_pattern(t, pattern_length) for t in column_titles):
             found = [
                 s.extract(F.col(f"{doc}_{chosen.index(s)}" if s.prepare else doc), title)
                 for s in applicable(chosen, title)
@@ -105,7 +109,7 @@ def _sql_search(items: str, match_keys: Sequence[str], value_keys: Sequence[str]
     return f"get(transform(filter({items}, e -> {tests}), e -> coalesce({values}, '')), 0)"
 
 
-def register_sql_functions(spark: SparkSession) -> None:
+def register_sql_functions(spark: SparkSession, pattern_length: int | None = None) -> None:
     """Make ``json_field(json, title)`` available in SQL for this session.
 
     It follows ``fields_as_columns`` for one title.  The optimizer inlines it,
@@ -135,7 +139,7 @@ def register_sql_functions(spark: SparkSession) -> None:
         RETURN coalesce({in_list}, {in_root}, '')
         """
     )
-    start = f"left(title, {matching.PATTERN_LENGTH})"
+    start = "title" if pattern_length is None else f"left(title, {pattern_length})"
     spark.sql(
         f"""
         CREATE OR REPLACE TEMPORARY FUNCTION json_field(json STRING, title STRING)

@@ -96,12 +96,15 @@ def pack_rows(
     """``(entity_id, data, loaded_at_utc)`` of the rows below the header.
 
     ``data`` is a JSON object of the fields in the caller's spelling and order,
-    or under the names in ``rename``.  Blank rows and blank ids are skipped.
+    or under the names in ``rename``; two fields under one name are an error.  Blank rows and blank ids are skipped.
     With ``repeated_headers`` so are rows that repeat the header, as grids of
     many files have them.
     All rows of one load share one time; one without a zone is UTC.  Needs no shuffle and runs on streams.
     """
     names = rename or {}
+    renamed = [names.get(f, f) for f in dict.fromkeys(fields)]
+    if len(set(renamed)) < len(renamed):
+        raise ValueError(f"several fields would get one name: {sorted(renamed)}")
     cells = {names.get(f, f): _cell(header.columns.get(f)) for f in fields}
     stamp = F.current_timestamp() if loaded_at is None else loaded_at
     if isinstance(stamp, datetime):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answergrid.functions import documents
+from answergrid.functions.names import apart
 
 
 def latest_per_entity(
@@ -21,8 +22,7 @@ def latest_per_entity(
 
     Both methods shuffle once, on ``key``, and reduce every partition to one
     row per entity before it, so an entity with very many rows stays cheap.
-    ``window`` ranks the rows; ``aggregate`` keeps the greatest while grouping,
-    which suits narrow rows.
+    ``window`` ranks the rows; ``aggregate`` keeps the greatest while grouping.
     """
     if method == "aggregate":
         others = [c for c in df.columns if c != key]
@@ -39,10 +39,17 @@ def latest_per_entity(
 
 
 def project_fields(df: DataFrame, fields: Sequence[str], data: str = "data") -> DataFrame:
-    """Fields of the JSON records as text columns of the same name."""
+    """Fields of the JSON records as text columns of the same name.
+
+    The other columns stay: a field whose name is taken gets its position.
+    """
+    others = [c for c in df.columns if c != data]
     parsed = df.withColumn("__record", documents.document_of(df, data))
-    columns = {f: documents.field_text(F.col("__record"), f) for f in fields}
-    return parsed.withColumns(columns).drop("__record", data)
+    taken = {c.lower() for c in others}
+    columns = [
+        documents.field_text(F.col("__record"), f).alias(apart(f, i, taken)) for i, f in enumerate(fields)
+    ]
+    return parsed.select(*others, *columns)
 
 
 def latest_fields(

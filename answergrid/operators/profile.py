@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from answergrid.functions import documents
 
-# Beginnings of question titles, the length over which a text may
-# be a title, and the length below which a value is shown.
+# Beginnings of question titles, and the length over which a text may
+# be a title.
 TITLE_PREFIXES = ("С ", "Ваш", "Как", "Что")
 TITLE_LENGTH = 10
-SHOWN_LENGTH = 100
 
 _NODE = "array<struct<path:string,node:variant>>"
 
@@ -59,21 +58,27 @@ def _exploded(df: DataFrame, col: str, path: str) -> DataFrame:
     )
 
 
-def profile_json(df: DataFrame, col: str, path: str = documents.ROOT) -> DataFrame:
+def profile_json(
+    df: DataFrame, col: str, path: str = documents.ROOT, sample_length: int | None = None
+) -> DataFrame:
     """``(path, kind, n_rows, sample)`` of a column, over all its rows.
 
     Describes the root, the keys of an object or the elements of an array, and
     the keys of those elements.  ``n_rows`` counts the values met; ``sample``
-    is the least of the short plain values.  Start deeper with ``path``.
+    is the least of the plain values, or of those with at most ``sample_length``
+    characters.  Start deeper with ``path``.
     Values are counted before the shuffle, so a common path moves few rows.
     """
     kinds = _exploded(df, col, path).withColumn("kind", documents.kind(F.col("node")))
     # Only plain values become text: a nested one could be a whole document.
     plain = F.col("kind").isin("string", "number", "boolean")
     texts = kinds.select("path", "kind", F.when(plain, F.col("node").cast("string")).alias("text"))
+    shown = F.col("text")
+    if sample_length is not None:
+        shown = F.when(F.length("text") <= sample_length, shown)
     return texts.groupBy("path", "kind").agg(
         F.count("*").alias("n_rows"),
-        F.min(F.when(F.length("text") < SHOWN_LENGTH, F.col("text"))).alias("sample"),
+        F.min(shown).alias("sample"),
     )
 
 

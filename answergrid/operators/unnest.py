@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answergrid.functions import documents
-from answergrid.functions.names import field_names
+from answergrid.functions.names import apart, field_names
 
 ITEMS = "__items"
 MOST_COLUMNS = 10_000
 
 
-def _others(df: DataFrame, col: str, made: Sequence[str]) -> list[str]:
-    """The columns that stay: all but the JSON column and those made anew."""
-    gone = {name.lower() for name in (col, *made)}
-    return [c for c in df.columns if c.lower() not in gone]
+def _others(df: DataFrame, col: str, made: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The columns that stay, all but the JSON column, and names apart from them for the new ones."""
+    others = [c for c in df.columns if c.lower() != col.lower()]
+    taken = {c.lower() for c in others}
+    return others, [apart(name, i, taken) for i, name in enumerate(made)]
 
 
 def unnest_rows(
@@ -27,29 +28,27 @@ def unnest_rows(
 
     With ``keys`` every element gives one text column per key; otherwise the
     element itself is the text column ``value``.  Rows without an array give
-    no rows.  The other columns are kept, unless a new one has their name.
-    There is no shuffle.
+    no rows.  The other columns are kept; a new one whose name is taken gets its
+    place.  There is no shuffle.
     """
     doc = documents.document_of(df, col)
     made = ["value"] if keys is None else list(keys)
-    others = _others(df, col, ["pos", *made])
+    others, (pos, *names) = _others(df, col, ["pos", *made])
     if keys is None:
         items = F.try_variant_get(doc, path, "array<variant>")
-        cells = [F.col("__item").cast("string").alias("value")]
+        cells = [F.col("__item").cast("string").alias(names[0])]
     else:
         items = documents.records(doc, path, made)
-        cells = [F.col("__item")[k].alias(k) for k in made]
-    return df.select(*others, F.posexplode(items).alias("pos", "__item")).select(
-        *others, "pos", *cells
-    )
+        cells = [F.col("__item")[k].alias(n) for k, n in zip(made, names, strict=True)]
+    return df.select(*others, F.posexplode(items).alias(pos, "__item")).select(*others, pos, *cells)
 
 
 def unnest_entries(df: DataFrame, col: str, path: str = documents.ROOT) -> DataFrame:
     """One row per entry of the object at ``path``: ``key`` and text ``value``."""
     entries = documents.object_map(documents.document_of(df, col), path)
-    others = _others(df, col, ["key", "value"])
-    return df.select(*others, F.explode(entries).alias("key", "__item")).select(
-        *others, "key", F.col("__item").cast("string").alias("value")
+    others, (key, value) = _others(df, col, ["key", "value"])
+    return df.select(*others, F.explode(entries).alias(key, "__item")).select(
+        *others, key, F.col("__item").cast("string").alias(value)
     )
 
 
@@ -59,8 +58,8 @@ def _with_items(df: DataFrame, col: str, keys: Sequence[str], path: str | None)
     return parsed.withColumn(ITEMS, documents.item_records(F.col(doc), keys, path)).drop(doc)
 
 
-def _widths_allowed(n: int, what: str) -> None:
-    if n > MOST_COLUMNS:
+def _widths_allowed(n: int, what: str, most: int) -> None:
+    if n > most:
         raise ValueError(f"{n} or more {what} would make too many columns; name what you need")
 
 
@@ -73,24 +72,28 @@ def unnest_positional(
     *,
     path: str | None = None,
     prefix: str | None = None,
+    most_columns: int = MOST_COLUMNS,
 ) -> DataFrame:
     """Columns ``<col>_<name_key>_1, <col>_<value_key>_1, …_2, …`` per item.
 
     Items are the array at ``path``, else ``$.list``, the root array, or the
     root object alone.  Missing items are NULL.  Without ``max_items`` one more
-    pass over the column finds the longest list: a single number.
+    pass over the column finds the longest list: a single number.  A list that
+    would need more than ``most_columns`` columns is then an error.  A new column
+    whose name is taken gets its place.
     """
     prefix = prefix or col
     keys = [name_key, value_key]
     wide = _with_items(df, col, keys, path)
     if max_items is None:
         max_items = wide.agg(F.max(F.size(ITEMS))).first()[0] or 0
-        _widths_allowed(2 * max_items, "cells per document")
+        _widths_allowed(2 * max_items, "cells per document", most_columns)
     columns: dict[str, Column] = {}
+    taken = {c.lower() for c in df.columns}
     for i in range(max(max_items, 0)):
         record = F.get(F.col(ITEMS), F.lit(i))
         for key in keys:
-            columns[f"{prefix}_{key}_{i + 1}"] = record[key]
+            columns[apart(f"{prefix}_{key}_{i + 1}", i, taken)] = record[key]
     return wide.withColumns(columns).drop(ITEMS) if columns else wide.drop(ITEMS)
 
 
@@ -115,18 +118,20 @@ def unnest_pivot(
     names: Sequence[str] | None = None,
     *,
     path: str | None = None,
+    most_columns: int = MOST_COLUMNS,
 ) -> DataFrame:
     """One column per item name, holding the value of the first such item.
 
     Names are compared whole.  The columns are filled row by row, without a
     shuffle.  Without ``names`` one more pass finds the distinct names; only
-    those reach the driver, and more than ``MOST_COLUMNS`` is an error.
+    those reach the driver, and more than ``most_columns`` is an error; ``distinct_names``
+    has them as rows.  A column of ``df`` is never replaced.
     """
     if names is None:
         found = distinct_names(df, col, name_key, path=path)
-        rows = found.orderBy("name").limit(MOST_COLUMNS + 1).collect()
+        rows = found.orderBy("name").limit(most_columns + 1).collect()
         names = [r["name"] for r in rows]
-        _widths_allowed(len(names), "distinct names")
+        _widths_allowed(len(names), "distinct names", most_columns)
     keys = [name_key, value_key]
     wide = _with_items(df, col, keys, path)
     lists = wide.withColumns(
@@ -136,7 +141,7 @@ def unnest_pivot(
         }
     )
     columns = {}
-    for name, column in zip(names, field_names(names)):
+    for name, column in zip(names, field_names(names, df.columns)):
         place = (F.array_position("__names", F.lit(name)) - 1).cast("int")
         columns[column] = F.get(F.col("__values"), place)
     return lists.withColumns(columns).drop(ITEMS, "__names", "__values")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from answergrid.functions import documents
 from answergrid.operators import (
+    ROW_CAP,
     as_text,
     capped,
     fields_as_columns,
@@ -17,6 +18,7 @@ from answergrid.operators import (
 from answergrid.plans import inputs
 from answergrid.plans.registry import documents_of, query, table
 from answergrid.sources import new_path, read_export, read_grid, read_query, write_grid
+from answergrid.sources.grids import BATCH_ROWS
 
 
 @query(
@@ -55,11 +57,41 @@ def export_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(events.select("event_id", "ts", "value", "props"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50000")
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey LIMIT 50000
+    """
+)
 def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default cap on a sorted result."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return capped(orders, order=[F.col("o_totalprice").desc(), "o_orderkey"])
+    """The usual cap on a sorted result."""
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"]
+    lines = capped(table(spark, sf_dir, "lineitem"), ROW_CAP, order=order)
+    return lines.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(
+    """
+    SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+           CAST(l_partkey AS VARCHAR) AS l_partkey, l_returnflag
+    FROM lineitem
+    """
+)
+def export_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export without a limit is whole."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    path = new_path(spark, "lines")
+    write_grid(lines, path)
+    return read_export(spark, path, header_of(lines))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, text FROM documents")
+def export_then_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with line breaks and quotes come back as they were."""
+    documents_table = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_path(spark, "texts")
+    write_grid(documents_table, path)
+    return read_export(spark, path, header_of(documents_table))
 
 
 @query(
@@ -85,7 +117,7 @@ def row_cap_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cap on the largest table where any rows will do."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     lines = table(spark, sf_dir, "lineitem").select(*keys)
-    taken = capped(lines, 20_000, any_rows=True).groupBy(*keys).agg(F.count("*").alias("taken"))
+    taken = capped(lines, 20_000).groupBy(*keys).agg(F.count("*").alias("taken"))
     # The cap bounds the broadcast side, so the table itself is not shuffled.
     found = lines.join(F.broadcast(taken), keys).groupBy(*keys, "taken").agg(F.count("*").alias("n"))
     return found.agg(
@@ -95,13 +127,13 @@ def row_cap_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT 'o_orderkey,priority,o_orderdate' AS header, count(*) AS n_rows,
-           min(o_orderpriority) AS least, max(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00')) AS last
-    FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50000)
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority AS priority,
+           strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS o_orderdate
+    FROM orders
     """
 )
 def export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extract, cap, write as grid files with headers, read back."""
+    """Extract, write all rows as grid files with headers, read them back."""
     orders = documents_of(spark, sf_dir, "orders")
     df = orders.select("o_orderkey", "o_orderdate", inputs.order_json().alias("answers"))
     result = fields_as_columns(df, "answers", ["priority"]).select(
@@ -109,13 +141,7 @@ def export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = new_path(spark, "export")
     write_grid(result, path, order=["o_orderkey"])
-    back = read_export(spark, path, header_of(result))
-    return back.agg(
-        F.lit(",".join(back.columns)).alias("header"),
-        F.count("*").alias("n_rows"),
-        F.min("priority").alias("least"),
-        F.max("o_orderdate").alias("last"),
-    )
+    return read_export(spark, path, header_of(result))
 
 
 @query(
@@ -129,7 +155,7 @@ def export_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line items in files of at most 10,000 rows, without headers."""
     path = new_path(spark, "batches")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate")
-    write_grid(lines, path, include_headers=False, row_limit=None)
+    write_grid(lines, path, include_headers=False, batch_rows=BATCH_ROWS)
     grid = read_grid(spark, path, width=3)
     files = grid.groupBy("row_no.file").agg(
         F.count("*").alias("n"), F.sum(F.get("cells", F.lit(0)).cast("long")).alias("keys")
@@ -268,28 +294,30 @@ def common_table_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, 'Order status' AS title, o_orderstatus AS value FROM orders
-    WHERE o_orderdate > TIMESTAMP '2000-01-01'
+    SELECT o_orderkey, unnest(['Order status', 'Order priority']) AS title,
+           unnest([o_orderstatus, o_orderpriority]) AS value
+    FROM orders
     UNION ALL
-    SELECT o_orderkey, 'Order priority', o_orderpriority FROM orders
-    WHERE o_orderdate > TIMESTAMP '2000-01-01'
+    SELECT o_orderkey, unnest(['Customer number', 'Order date', 'Order number']),
+           unnest([CAST(o_custkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d'), CAST(o_orderkey AS VARCHAR)])
+    FROM orders
     """
 )
 def lateral_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array elements beside their row, in SQL."""
     documents.configure(spark)
     orders = documents_of(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderdate", inputs.order_json().alias("answers")
+        "o_orderkey", inputs.order_json().alias("answers")
     )
     return read_query(
         spark,
         """
-        SELECT o_orderkey, coalesce(e:question_title::string, e:title::string) AS title,
-               coalesce(e:value_text::string, e:answer::string) AS value
-        FROM (SELECT o_orderkey, o_orderdate, try_parse_json(answers) AS doc FROM {orders})
+        SELECT o_orderkey,
+               coalesce(e:question_title::string, e:title::string, e:question::string, e:name::string) AS title,
+               coalesce(e:value_text::string, e:answer::string, e:text::string, e:value::string,
+                        e:response::string) AS value
+        FROM (SELECT o_orderkey, try_parse_json(answers) AS doc FROM {orders})
         LATERAL VIEW posexplode(try_variant_get(doc, '$.list', 'array<variant>')) x AS pos, e
-        WHERE o_orderdate > TIMESTAMP_NTZ '2000-01-01'
-          AND lower(coalesce(e:question_title::string, e:title::string)) LIKE 'order %'
         """,
         orders=orders,
     )

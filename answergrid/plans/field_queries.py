@@ -164,29 +164,36 @@ def strategy_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, o_orderpriority AS the_priority_that_the_customer_wished_for_every_0,
+    SELECT o_orderkey, o_orderpriority AS the_priority_that_the_customer_chose,
+           o_orderstatus AS the_priority_that_the_customer_rejected,
+           o_orderpriority AS the_priority_that_the_customer_wished_for_every_single_time,
            o_orderpriority AS "order_100__by_customer", o_orderstatus AS "o_der_status",
            o_orderstatus AS a_b, '' AS field_1st
     FROM orders
     """
 )
 def title_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long titles are searched by their start; ``%`` and ``_`` are wildcards."""
+    """Long titles are searched whole, or by their start if asked; ``%`` and ``_`` are wildcards."""
     answers = list_of(
         item(title="The priority that the customer chose", value=F.col("o_orderpriority")),
+        item(title="The priority that the customer rejected", value=F.col("o_orderstatus")),
         item(title="order is 100 per cent by customer", value=F.col("o_orderpriority")),
         item(question="O-der status", text=F.col("o_orderstatus")),
         item(name="a\\b", value=F.col("o_orderstatus")),
     )
     titles = [
-        "The priority that the customer wished for every single time",
+        "The priority that the customer chose",
+        "The priority that the customer rejected",
         "order%100% by customer",
         "O_der status",
         "A\\B",
         "1st",
     ]
     df = documents_of(spark, sf_dir, "orders").select("o_orderkey", answers.alias("answers"))
-    return fields_as_columns(df, "answers", titles).drop("answers")
+    whole = fields_as_columns(df, "answers", titles)
+    start = ["The priority that the customer wished for every single time"]
+    cut = fields_as_columns(whole, "answers", start, pattern_length=matching.PATTERN_LENGTH)
+    return cut.drop("answers")
 
 
 @query(
@@ -245,7 +252,8 @@ def positional_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT s_suppkey, s_name AS picked,
            s_nationkey % 2 = 0 AS matched,
-           left('A supplier title of more than thirty characters', 30) AS pattern
+           'A supplier title of more than thirty characters' AS pattern,
+           left('A supplier title of more than thirty characters', 30) AS cut_pattern
     FROM supplier
     """
 )
@@ -259,12 +267,13 @@ def value_pick_and_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("supplier").alias("name"),
     )
     df = table(spark, sf_dir, "supplier").select("s_suppkey", record.alias("record"))
-    pattern = matching.make_pattern("A supplier title of more than thirty characters")
+    title = "A supplier title of more than thirty characters"
     return df.select(
         "s_suppkey",
         matching.pick_value(F.col("record"), ["value_text", "answer", "text"]).alias("picked"),
         matching.matches(F.col("record"), ["title", "name"], "home nation").alias("matched"),
-        F.lit(pattern).alias("pattern"),
+        F.lit(matching.make_pattern(title)).alias("pattern"),
+        F.lit(matching.make_pattern(title, matching.PATTERN_LENGTH)).alias("cut_pattern"),
     )
 
 
@@ -446,11 +455,11 @@ def name_and_value_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT o_orderkey, o_orderpriority AS priority, o_orderstatus AS status,
            CAST(o_custkey AS VARCHAR) AS customer, '' AS nothing
-    FROM orders WHERE o_orderpriority LIKE '%URGENT' ORDER BY o_orderkey DESC LIMIT 200
+    FROM orders WHERE o_orderpriority LIKE '%URGENT'
     """
 )
 def sql_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL function in a select list, a filter and under a limit."""
+    """The SQL function in a select list and a filter."""
     register_sql_functions(spark)
     answers = inputs.order_answers(spark, sf_dir)
     return spark.sql(
@@ -461,7 +470,6 @@ def sql_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
                json_field(answers, 'nothing') AS nothing
         FROM {answers}
         WHERE json_field(answers, 'priority') LIKE '%URGENT'
-        ORDER BY o_orderkey DESC LIMIT 200
         """,
         answers=answers,
     )

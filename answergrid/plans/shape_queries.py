@@ -178,7 +178,7 @@ def profile_mixed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 1, item(lang=F.col("lang"), short=F.col("n_chars") < 500))
         .otherwise(F.concat(F.lit('"'), F.col("lang"), F.lit('"')))
     )
-    return profile_json(documents_of(spark, sf_dir, "documents").select(doc.alias("doc")), "doc")
+    return profile_json(documents_of(spark, sf_dir, "documents").select(doc.alias("doc")), "doc", sample_length=99)
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answergrid.operators.export import ROW_CAP, as_text, capped
+from answergrid.operators.export import as_text, capped
 from answergrid.operators.ingest import (
     Header,
     HeaderNotFound,
@@ -20,7 +20,7 @@ from answergrid.operators.ingest import (
     row_literal,
 )
 
-# Fixed value: rows of one written batch.
+# Fixed value: rows of one written batch, for those who ask for batches.
 BATCH_ROWS = 10_000
 
 _QUOTED = {"quote": '"', "escape": '"'}
@@ -102,20 +102,21 @@ def read_grid(
     ``row_no`` orders the rows: by file, by place in the file.  It is a struct,
     so no pass over the data is needed to number rows.  Rows may be ragged:
     missing cells are NULL, cells beyond the width are left out.  The width is
-    the lesser of ``width`` and the range's, or found by one more pass over the
-    lines.  A range that ends at a row keeps the
+    the lesser of the range's and ``width``, which one more pass over the lines
+    finds where it is not given.  A range that ends at a row keeps the
     first rows in that order.
 
     Lines are split across tasks.  Cells with line breaks need ``multi_line``,
     with a known width; then one task reads each file.
     """
     area = parse_range(cell_range) if cell_range else CellRange()
-    width = min((w for w in (area.end_column, width) if w), default=None)
     lines = spark.read.text(path)
     if width is None:
-        if multi_line:
+        if not multi_line:
+            width = _width_of(lines, sep)
+        elif area.end_column is None:
             raise ValueError("a grid with line breaks in cells needs width or cell_range")
-        width = _width_of(lines, sep)
+    width = min(w for w in (area.end_column, width) if w)
     names = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{n} STRING" for n in names)
     options = {"sep": sep, **_QUOTED, "maxColumns": str(max(width + 1, 20480))}
@@ -191,25 +192,25 @@ def write_grid(
     path: str,
     *,
     include_headers: bool = True,
-    row_limit: int | None = ROW_CAP,
+    row_limit: int | None = None,
     order: Sequence[Column | str] | None = None,
-    any_rows: bool = False,
-    batch_rows: int = BATCH_ROWS,
+    batch_rows: int | None = None,
     mode: str = "overwrite",
 ) -> None:
     """Write a query result as text, replacing what was there.
 
-    ``row_limit``, ``order`` and ``any_rows`` are those of ``capped``.  Tasks
-    write in parallel, at most ``batch_rows`` rows per file.  Every file has
-    the header, so any of them can be read alone.
+    ``row_limit`` and ``order`` are those of ``capped``.  Tasks write in parallel,
+    one file each, or files of at most ``batch_rows`` rows.  Every file has the
+    header, so any of them can be read alone.  Empty cells are quoted, so that a
+    row of one empty cell is not a blank line, which readers skip.
     """
     (
-        as_text(capped(df, row_limit, order=order, any_rows=any_rows))
+        as_text(capped(df, row_limit, order=order))
         .write.mode(mode)
         .options(
             header=include_headers,
-            maxRecordsPerFile=batch_rows,
-            emptyValue="",
+            maxRecordsPerFile=batch_rows or 0,
+            emptyValue='""',
             ignoreLeadingWhiteSpace=False,
             ignoreTrailingWhiteSpace=False,
             **_QUOTED,

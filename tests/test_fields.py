@@ -43,7 +43,7 @@ CASES = [
     ('{"list":[{"title":"order-no","value":"w"}]}', "order_no", "w"),
     (QUOTED, "Field's \"Name\"", "q"),
     (QUOTED, "a\\b", "s"),
-    ('{"list":[{"title":"An unusually long question title","value":"cut"}]}', LONG, "cut"),
+    ('{"list":[{"title":"An unusually long question title","value":"cut"}]}', LONG, ""),
     ('{"title":"Age","title":"Size","value":"last"}', "Size", "last"),
     ('{"title":"Age","title":"Size","value":"last"}', "Age", ""),
     ("{bad", "Age", ""),
@@ -97,7 +97,21 @@ def test_one_title_at_a_time(spark):
     ],
 )
 def test_safe_names(title, index, name):
-    assert safe_name(title, index) == name
+    assert safe_name(title, index, max_length=50) == name
+
+
+def test_long_titles_are_whole_unless_cut(spark):
+    doc = '{"list":[{"title":"An unusually long question title","value":"cut"}]}'
+    df = spark.createDataFrame([(doc,)], "answers STRING")
+    assert fields_as_columns(df, "answers", [LONG], pattern_length=30).first()[1] == "cut"
+    assert fields_as_columns(df, "answers", [LONG]).first()[1] == ""
+    assert len(safe_name("n" * 200, 0)) == 200
+
+
+def test_a_column_is_never_replaced(spark):
+    df = spark.createDataFrame([("kept", '{"title":"Name","value":"found"}')], "name STRING, answers STRING")
+    wide = fields_as_columns(df, "answers", ["Name"])
+    assert (wide.columns, tuple(wide.first())[::2]) == (["name", "answers", "name_0"], ("kept", "found"))
 
 
 def test_repeated_names_get_their_position():

@@ -11,7 +11,6 @@ from answergrid import (
     unnest_positional,
     unnest_rows,
 )
-from answergrid.operators import unnest as unnest_module
 
 ARRAY = '[{"question":"A","answer":"1"},{"question":"B","answer":2},{"question":"A","answer":"3"}]'
 
@@ -32,7 +31,10 @@ def test_rows(spark):
 def test_entries(spark):
     df = frame(spark, '{"b":{"x":1},"a":"t"}', "[1]", None)
     kept = unnest_rows(df.selectExpr("id", "'old' AS VALUE", "'[7]' AS j"), "j")
-    assert (kept.columns, tuple(kept.first())) == (["id", "pos", "value"], (0, 0, "7"))
+    assert (kept.columns, tuple(kept.first())) == (
+        ["id", "VALUE", "pos", "value_1"],
+        (0, "old", 0, "7"),
+    )
     rows = {tuple(r) for r in unnest_entries(df, "j").collect()}
     assert rows == {(0, "a", "t"), (0, "b", '{"x":1}')}
 
@@ -67,12 +69,11 @@ def test_keys_that_differ_in_case(spark):
     assert tuple(unnest_pivot(df, "j", "K", "k").drop("j").first()) == (0, "1", "2")
 
 
-def test_too_many_names_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(unnest_module, "MOST_COLUMNS", 1)
+def test_too_many_names_is_an_error(spark):
     with pytest.raises(ValueError):
-        unnest_pivot(frame(spark, ARRAY), "j", "question", "answer")
+        unnest_pivot(frame(spark, ARRAY), "j", "question", "answer", most_columns=1)
     with pytest.raises(ValueError):
-        unnest_positional(frame(spark, ARRAY), "j", "question", "answer")
+        unnest_positional(frame(spark, ARRAY), "j", "question", "answer", most_columns=1)
 
 
 def test_profile(spark):
@@ -90,8 +91,9 @@ def test_profile(spark):
         ("$.list", "array", 1, None), ("$.list[*]", "object", 1, None),
         ("$.list[*].t", "string", 1, "x"),
     }
-    long = profile_json(frame(spark, '{"t":"' + "x" * 100 + '"}'), "j").where("path = '$.t'").first()
-    assert long["sample"] is None
+    long = frame(spark, '{"t":"' + "x" * 100 + '"}')
+    assert profile_json(long, "j").where("path = '$.t'").first()["sample"] == "x" * 100
+    assert profile_json(long, "j", sample_length=99).where("path = '$.t'").first()["sample"] is None
 
 
 def test_profile_of_a_typed_column(spark):
