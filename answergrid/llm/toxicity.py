@@ -25,6 +25,7 @@ columns named ``score`` or ``evidence`` are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ LEAST_CHI = 30.0
 NEIGHBOURS = 25
 BLOCK = 128
 PRIOR = 0.5
+#: Answers a task remembers; texts with one term in common with the index are many.
+REMEMBERED = 10_000
 _EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
 
 
@@ -88,8 +91,11 @@ class ExampleIndex:
         weight = weight / norm[example] if len(example) else weight
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.blocks = max(1, -(-len(ids) // BLOCK))
+        #: Where each term's postings of each block begin.
+        place = term[order] * self.blocks + self.example // BLOCK
+        ends = np.searchsorted(place, np.arange(len(terms) * self.blocks + 1))
+        self.cuts = np.column_stack((ends[:-1].reshape(-1, self.blocks), ends[self.blocks :: self.blocks]))
         self.most = np.zeros((len(terms), self.blocks), np.float32)
         np.maximum.at(self.most, (term, example // BLOCK), weight)
         # Above the true weight, so that rounding cannot hide a block.
@@ -103,22 +109,24 @@ class ExampleIndex:
         bounds = weight @ self.most[term]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
-        step = 8
-        for begin in range(0, len(order), step):
+        begin, step = 0, 16
+        while begin < len(order):
             chosen = order[begin : begin + step]
             if bounds[chosen[0]] <= 1e-6 * len(term) or (len(best) == NEIGHBOURS and bounds[chosen[0]] < cosine[-1]):
                 break
-            total = np.zeros(step * BLOCK)
-            for slot, block in enumerate(chosen):
-                for t, w in zip(term, weight, strict=True):
-                    low, high = self.start[t], self.start[t + 1]
-                    a, b = low + np.searchsorted(self.example[low:high], [block * BLOCK, (block + 1) * BLOCK])
-                    total[slot * BLOCK + self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
+            # All postings of the text's terms in the chosen blocks, one after the other.
+            low = self.cuts[term[:, None], chosen].ravel()
+            size = self.cuts[term[:, None], chosen + 1].ravel() - low
+            at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            base = np.arange(len(chosen)) * BLOCK - chosen * BLOCK
+            slot = self.example[at] + np.repeat(np.tile(base, len(term)), size)
+            total = np.bincount(slot, self.weight[at] * np.repeat(np.repeat(weight, len(chosen)), size), len(chosen) * BLOCK)
             hit = np.flatnonzero(total)
             ids = np.concatenate((best, chosen[hit // BLOCK] * BLOCK + hit % BLOCK))
             cosine = np.concatenate((cosine, total[hit]))
             top = np.lexsort((ids, -np.round(cosine, 12)))[:NEIGHBOURS]
             best, cosine = ids[top], cosine[top]
+            begin, step = begin + step, 2 * step
         return best, cosine
 
 
@@ -183,6 +191,11 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: ExampleIndex = shared.value
+
+        @lru_cache(maxsize=REMEMBERED)
+        def found(term: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray]:
+            return own.nearest(np.frombuffer(term, np.int64), np.frombuffer(weight))
+
         for batch in slices(batches):
             row, term, times = sparse_rows(texts_of(batch), own.terms)
             weight = own.weights(term, times)
@@ -191,7 +204,7 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex) -> DataFrame:
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 best, cosine = np.zeros(0, np.int64), np.zeros(0)
                 if b > a:
-                    best, cosine = own.nearest(term[a:b], weight[a:b] / np.sqrt((weight[a:b] ** 2).sum()))
+                    best, cosine = found(term[a:b].tobytes(), (weight[a:b] / np.sqrt((weight[a:b] ** 2).sum())).tobytes())
                 scores.append(float((cosine @ own.labels[best] + PRIOR * own.base) / (cosine.sum() + PRIOR)))
                 evidence.append([{"doc_id": own.ids[i], "cosine": float(c), "label": int(own.labels[i])} for i, c in zip(best[:3], cosine[:3], strict=True)])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
