@@ -155,7 +155,7 @@ def _sign(shared: Broadcast):
                 [
                     texts_of(batch, "doc_id").cast(pa.int64()),
                     pa.array(text_keys(column, hashes, first_word), pa.binary()),
-                    pa.array(total),
+                    pa.array(total, pa.float64()),
                     pa.array([[] if e else x for e, x in zip(empty, lists, strict=True)], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "key", "weight", "bands"],
