@@ -72,9 +72,10 @@ def fields_as_columns(
     title, or for its first ``pattern_length`` characters.  A column of ``df`` is
     never replaced: a title whose name is taken gets its position.
 
-    The result is a chain of projections without a shuffle, so it also runs on
-    streams.  Each document is parsed once, what its titles share is prepared
-    once, and each title then searches the prepared records.
+    The result needs no shuffle, so it also runs on streams.  Each document is
+    parsed once, what its titles share is prepared once, and each title then
+    searches the prepared records.  What is prepared passes through a generator of
+    one row, so that a filter on a new column repeats that column's search only.
     """
     wanted = dict(json_col) if isinstance(json_col, Mapping) else {json_col: list(titles or [])}
     chosen = _chosen_strategies(strategies, value_keys, match_keys, name_key, value_key, mode)
@@ -85,22 +86,23 @@ def fields_as_columns(
 
     parsed, prepared, results = {}, {}, {}
     for i, (column, column_titles) in enumerate(wanted.items()):
-        doc = f"__document_{i}"
-        parsed[doc] = documents.document_of(df, column)
+        doc = f"document_{i}"
+        parsed[f"__{doc}"] = documents.document_of(df, column)
+        cut = [matching.make_pattern(t, pattern_length) for t in column_titles]
         for j, strategy in enumerate(chosen):
-            if strategy.prepare:
-                cut = [matching.make_pattern(t, pattern_length) for t in column_titles]
-                own = [t for t in cut if strategy.applies(t)]
-                prepared[f"{doc}_{j}"] = strategy.prepare(F.col(doc), own)
-        for title in (matching.make_pattern(t, pattern_length) for t in column_titles):
+            own = [t for t in cut if strategy.applies(t)]
+            whole = F.col(f"__{doc}")
+            prepared[f"{doc}_{j}"] = strategy.prepare(whole, own) if strategy.prepare else whole
+        for title in cut:
             found = [
-                s.extract(F.col(f"{doc}_{chosen.index(s)}" if s.prepare else doc), title)
+                s.extract(F.col("__prepared")[f"{doc}_{chosen.index(s)}"], title)
                 for s in applicable(chosen, title)
             ]
             results[next(names)] = F.coalesce(*found, F.lit(default))
 
-    helpers = [*parsed, *prepared]
-    return df.withColumns(parsed).withColumns(prepared).withColumns(results).drop(*helpers)
+    once = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in prepared.items()])))
+    ready = df.withColumns(parsed).select("*", once.alias("__prepared"))
+    return ready.withColumns(results).drop("__prepared", *parsed)
 
 
 def _sql_search(items: str, match_keys: Sequence[str], value_keys: Sequence[str]) -> str:
@@ -110,43 +112,48 @@ def _sql_search(items: str, match_keys: Sequence[str], value_keys: Sequence[str]
 
 
 def register_sql_functions(spark: SparkSession, pattern_length: int | None = None) -> None:
-    """Make ``json_field(json, title)`` available in SQL for this session.
-
-    It follows ``fields_as_columns`` for one title.  The optimizer inlines it,
-    so it takes part in filters, sorts and limits like any expression.  Every
-    call may parse the document again: for many titles use
-    ``fields_as_columns``.
+    """Make two functions available in SQL for this session.
+
+    ``json_fields(json, titles)`` gives the texts of an array of titles, with one
+    parse of the document; ``json_field(json, title)`` gives one.  Both follow
+    ``fields_as_columns``.  The optimizer inlines them, so they take part in
+    filters, sorts and limits like any expression; every call in the text parses
+    by itself, and so does a filter on its result.  To filter with one parse, put
+    ``array(json_fields(..)) AS once`` in a subquery and read it through
+    ``LATERAL VIEW OUTER explode(once)``.
     """
     documents.configure(spark)
     list_keys = [*matching.LIST_MATCH_KEYS, *matching.LIST_VALUE_KEYS]
     root_keys = [*matching.ARRAY_MATCH_KEYS, *matching.ARRAY_VALUE_KEYS]
     root_type = documents.record_type(root_keys)
-    in_list = _sql_search(
-        f"try_variant_get(doc, '$.list', 'array<{documents.record_type(list_keys)}>')",
-        matching.LIST_MATCH_KEYS,
-        matching.LIST_VALUE_KEYS,
-    )
-    in_root = _sql_search(
-        f"coalesce(try_variant_get(doc, '$', 'array<{root_type}>'),"
-        f" array(try_variant_get(doc, '$', '{root_type}')))",
-        matching.ARRAY_MATCH_KEYS,
-        matching.ARRAY_VALUE_KEYS,
-    )
+    in_list = _sql_search("found.in_list", matching.LIST_MATCH_KEYS, matching.LIST_VALUE_KEYS)
+    in_root = _sql_search("found.in_root", matching.ARRAY_MATCH_KEYS, matching.ARRAY_VALUE_KEYS)
+    start = "title" if pattern_length is None else f"left(title, {pattern_length})"
+    # Arrays of one element give a name to what must be worked out only once.
     spark.sql(
         f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION document_field(doc VARIANT, pattern STRING)
-        RETURNS STRING
-        RETURN coalesce({in_list}, {in_root}, '')
+        CREATE OR REPLACE TEMPORARY FUNCTION json_fields(json STRING, titles ARRAY<STRING>)
+        RETURNS ARRAY<STRING>
+        RETURN get(transform(
+            transform(array(try_parse_json(json)), doc -> named_struct(
+                'in_list', try_variant_get(doc, '$.list', 'array<{documents.record_type(list_keys)}>'),
+                'in_root', coalesce(
+                    try_variant_get(doc, '$', 'array<{root_type}>'),
+                    array(try_variant_get(doc, '$', '{root_type}'))
+                )
+            )),
+            found -> transform(
+                transform(titles, title ->
+                    lower(concat('%', replace({start}, chr(92), repeat(chr(92), 2)), '%'))),
+                pattern -> coalesce({in_list}, {in_root}, '')
+            )
+        ), 0)
         """
     )
-    start = "title" if pattern_length is None else f"left(title, {pattern_length})"
     spark.sql(
-        f"""
+        """
         CREATE OR REPLACE TEMPORARY FUNCTION json_field(json STRING, title STRING)
         RETURNS STRING
-        RETURN document_field(
-            try_parse_json(json),
-            lower(concat('%', replace({start}, chr(92), repeat(chr(92), 2)), '%'))
-        )
+        RETURN get(json_fields(json, array(title)), 0)
         """
     )

@@ -43,6 +43,12 @@ class Header:
     missing: list[str] = field(default_factory=list)
 
 
+def holds(field: str) -> Column:
+    """Whether a row has a cell with this name, whatever its case and padding."""
+    names = F.transform("cells", lambda c: F.lower(strip(c)))
+    return F.array_contains(names, F.lower(F.lit(field)))
+
+
 def find_header(grid: DataFrame, id_field: str, fields: Sequence[str]) -> Header:
     """The first row that holds ``id_field``, whatever its case and padding.
 
@@ -55,8 +61,8 @@ def find_header(grid: DataFrame, id_field: str, fields: Sequence[str]) -> Header
         F.array_position("names", F.lower(F.lit(f))).alias(f"p{i}") for i, f in enumerate(wanted)
     ]
     candidates = (
-        grid.select("row_no", names.alias("names"))
-        .where(F.array_contains("names", F.lower(F.lit(id_field))))
+        grid.where(holds(id_field))
+        .select("row_no", names.alias("names"))
         .select(F.struct("row_no", *places).alias("header"))
     )
     row = candidates.agg(F.min_by("header", "header.row_no").alias("header")).first()["header"]
@@ -96,7 +102,8 @@ def pack_rows(
     """``(entity_id, data, loaded_at_utc)`` of the rows below the header.
 
     ``data`` is a JSON object of the fields in the caller's spelling and order,
-    or under the names in ``rename``; two fields under one name are an error.  Blank rows and blank ids are skipped.
+    or under the names in ``rename``; two fields under one name are an error.
+    Blank rows and blank ids are skipped.
     With ``repeated_headers`` so are rows that repeat the header, as grids of
     many files have them.
     All rows of one load share one time; one without a zone is UTC.  Needs no shuffle and runs on streams.

@@ -473,3 +473,30 @@ def sql_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
         """,
         answers=answers,
     )
+
+
+@query(
+    """
+    SELECT o_orderkey, o_orderpriority AS priority, o_orderstatus AS status,
+           CAST(o_custkey AS VARCHAR) AS customer, '' AS nothing
+    FROM orders WHERE o_orderstatus <> 'F'
+    """
+)
+def sql_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several titles in one SQL call: one parse, with a filter on one of them."""
+    register_sql_functions(spark)
+    answers = inputs.order_answers(spark, sf_dir)
+    return spark.sql(
+        """
+        SELECT o_orderkey, found[0] AS priority, found[1] AS status,
+               found[2] AS customer, found[3] AS nothing
+        FROM (
+            SELECT o_orderkey, array(
+                json_fields(answers, array('Priority', 'STATUS', 'Customer', 'nothing'))
+            ) AS once
+            FROM {answers}
+        ) LATERAL VIEW OUTER explode(once) AS found
+        WHERE found[1] <> 'F'
+        """,
+        answers=answers,
+    )

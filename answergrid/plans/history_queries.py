@@ -20,9 +20,12 @@ from answergrid.plans import inputs
 from answergrid.plans.registry import documents_of, query, table
 from answergrid.sources import (
     Run,
+    append_history,
     append_history_files,
+    ensure_history,
     import_files,
     new_path,
+    read_grid,
     read_history_files,
     write_grid,
 )
@@ -129,31 +132,83 @@ def grid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""
+    """
+    SELECT CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS status,
+           CAST(o_orderkey AS VARCHAR) AS "order", o_orderpriority AS priority
+    FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders)
+    WHERE row_no BETWEEN 3 AND 5000
+    """
+)
+def grid_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some columns and rows of a grid of several files, whose rows go on from file to file."""
+    path = new_path(spark, "range")
+    orders = table(spark, sf_dir, "orders").repartitionByRange(4, "o_orderkey")
+    orders = orders.sortWithinPartitions("o_orderkey")
+    columns = ["o_totalprice", "o_custkey", "o_orderstatus", "o_orderkey", "o_orderpriority", "o_orderdate"]
+    write_grid(orders.select(*columns), path, include_headers=False)
+    grid = read_grid(spark, path, cell_range="B3:F5000")
+    names = ["customer", "status", "order", "priority"]
+    return grid.select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+
+
+@query(
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text
+    FROM documents
+    """
+)
+def grid_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with line breaks and quotes, written as a grid and read again."""
+    path = new_path(spark, "multi-line")
+    write_grid(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path)
+    grid = read_grid(spark, path, width=3, multi_line=True)
+    cells = [F.coalesce(F.col("cells")[i], F.lit("")) for i in range(3)]
+    rows = grid.select(*[c.alias(n) for c, n in zip(cells, ["doc_id", "lang", "text"], strict=True)])
+    return rows.where("doc_id <> 'doc_id'")
+
+
+_REVISED = f"""
     SELECT entity_id, segment, nation, '2024-01-16 14:20:00' AS loaded_at_utc
     FROM (
         SELECT entity_id, segment, nation FROM ({_KEPT}) WHERE c_custkey % 2 = 1
         UNION ALL
         SELECT entity_id, 'REVISED', nation FROM ({_KEPT}) WHERE c_custkey % 2 = 0
     )
-    """
-)
-def history_append_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two loads appended to a history; the latest record of every entity."""
-    path = new_path(spark, "history")
+"""
+
+
+def _two_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The customer grid, and the same later with every other segment revised."""
     grid = inputs.customer_grid(spark, sf_dir)
     first, header = import_grid(grid, "customer_name", FIELDS, loaded_at=LOADED_AT)
-    append_history_files(first, path)
     revised = F.when(
         (F.col("row_no") >= 0) & (F.col("row_no") % 2 == 0) & (F.size("cells") > 1),
         F.concat(F.slice("cells", 1, 2), F.array(F.lit("REVISED")), F.slice("cells", 4, 10)),
     ).otherwise(F.col("cells"))
     again = grid.withColumn("cells", revised)
-    second = pack_rows(again, header, "customer_name", FIELDS, loaded_at=datetime(2024, 1, 16, 14, 20))
-    append_history_files(second, path)
+    later = datetime(2024, 1, 16, 14, 20)
+    return [first, pack_rows(again, header, "customer_name", FIELDS, loaded_at=later)]
+
+
+@query(_REVISED)
+def history_append_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads appended to a history of files; the latest record of every entity."""
+    path = new_path(spark, "history")
+    for load in _two_loads(spark, sf_dir):
+        append_history_files(load, path)
     return _stamp_text(latest_fields(read_history_files(spark, path), ["segment", "nation"]))
 
 
+@query(_REVISED)
+def history_table_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a history table, made if missing and checked before each load."""
+    path = new_path(spark, "history_table")
+    for load in _two_loads(spark, sf_dir):
+        name = ensure_history(spark, "answergrid", f"h{path[-32:]}", location=path)
+        append_history(load, name)
+    return _stamp_text(latest_fields(spark.table(name), ["segment", "nation"]))
+
+
 @query(
     """
     SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, o_orderpriority AS priority,

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,13 +16,16 @@ from answergrid.operators.ingest import (
     Header,
     HeaderNotFound,
     find_header,
+    holds,
     import_grid,
     pack_rows,
-    row_literal,
 )
+from answergrid.sources.shared import new_path
 
 # Fixed value: rows of one written batch, for those who ask for batches.
 BATCH_ROWS = 10_000
+#: So many files are counted in one job, at most, where a range looks for its rows.
+COUNTED_FILES = 1024
 
 _QUOTED = {"quote": '"', "escape": '"'}
 
@@ -67,24 +71,163 @@ def _width_of(lines: DataFrame, sep: str) -> int:
     return (lines.agg(F.max(separators)).first()[0] or 0) + 1
 
 
-def _nth_row(grid: DataFrame, n: int) -> Column | None:
-    """The ``row_no`` of the n-th row; None if there are fewer rows.
+def _file() -> Column:
+    return F.col("_metadata.file_path")
 
-    Rows are counted per block of a file, and only the one block that holds the
-    n-th row is sorted.  The window runs over one row per block.
+
+@dataclass(frozen=True)
+class _Files:
+    """Files of rows: which there are, and their rows as they are read."""
+
+    spark: SparkSession
+    path: str | list[str]
+    sep: str
+    multi_line: bool
+    names: tuple[str, ...] = ()
+
+    def listed(self) -> DataFrame:
+        """The names of the files, from their listing: no content is read."""
+        files = self.spark.read.format("binaryFile").load(self.path)
+        return files.select(_file().alias("file"))
+
+    def lines(self, *tests: Column) -> DataFrame:
+        """The files' lines; ``tests`` of ``_metadata.file_path`` leave out whole files."""
+        lines = self.spark.read.text(self.path)
+        return reduce(DataFrame.where, tests, lines)
+
+    def rows(self, *tests: Column) -> DataFrame:
+        """``file, block, line`` and the row, a text or (with line breaks) a struct.
+
+        ``line`` depends on how Spark shares the files out among tasks, which may
+        differ the next time they are read.
+        """
+        if self.multi_line:
+            schema = ", ".join(f"{n} STRING" for n in self.names)
+            rows = self.spark.read.csv(
+                self.path, schema=schema, multiLine=True, **_csv(self.sep, len(self.names))
+            )
+            rows, row = reduce(DataFrame.where, tests, rows), F.struct(*self.names)
+        else:
+            rows, row = self.lines(*tests), F.col("value")
+        return rows.select(
+            _file().alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+            row.alias("row"),
+        )
+
+    def holding(self, n: int) -> tuple[str, int] | None:
+        """The file that holds the n-th row, and which of its rows that is.
+
+        Files are counted in their order, some at a time, up to that file only.
+        """
+        step, last = 1, None
+        while True:
+            left = self.listed() if last is None else self.listed().where(F.col("file") > last)
+            batch = [r["file"] for r in left.orderBy("file").limit(step).collect()]
+            if not batch:
+                return None
+            rows = self.rows(_file().between(batch[0], batch[-1]))
+            counts = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}
+            for file in batch:
+                if n <= counts.get(file, 0):
+                    return file, n
+                n -= counts.get(file, 0)
+            step, last = min(2 * step, COUNTED_FILES), batch[-1]
+
+
+def _csv(sep: str, width: int) -> dict[str, str]:
+    return {"sep": sep, **_QUOTED, "maxColumns": str(max(width + 1, 20480))}
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder: their numbers no longer change."""
+    path = new_path(rows.sparkSession, "grid-rows")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _place_of(rows: DataFrame, file: str, n: int) -> Column:
+    """Where the n-th row of a file is among kept rows.
+
+    One number per block of this one file reaches the driver.
     """
-    in_order = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = grid.select("row_no.file", "row_no.block").groupBy("file", "block").count()
-    counted = blocks.withColumn("up_to", F.sum("count").over(in_order))
-    hit = counted.where(F.col("up_to") >= n).orderBy("up_to").first()
-    if hit is None:
-        return None
-    in_block = grid.select("row_no").where(
-        (F.col("row_no.file") == hit["file"]) & (F.col("row_no.block") == hit["block"])
+    blocks = rows.where(F.col("file") == file).groupBy("block")
+    found = blocks.agg(F.min("line").alias("first"), F.count("*").alias("n")).orderBy("block")
+    for block in found.collect():
+        if n <= block["n"]:
+            return F.struct(
+                F.lit(file).alias("file"),
+                F.lit(block["block"]).alias("block"),
+                F.lit(block["first"] + n - 1).alias("line"),
+            )
+        n -= block["n"]
+    raise ValueError(f"{file} has changed while it was read")
+
+
+def _rows_in(files: _Files, area: CellRange, numbered: bool, *tests: Column) -> DataFrame:
+    """The rows of a range; only files that hold a border are cut row by row."""
+    first = files.holding(area.first_row + 1) if area.first_row else None
+    last = files.holding(area.end_row) if area.end_row else None
+    if area.first_row and first is None:
+        tests = (*tests, F.lit(False))
+    if first:
+        tests = (*tests, _file() >= first[0])
+    if last:
+        tests = (*tests, _file() <= last[0])
+    borders = sorted({border[0] for border in (first, last) if border})
+    whole = files.rows(*tests, *([~_file().isin(borders)] if borders else []))
+    whole = _kept(whole) if numbered else whole
+    if not borders:
+        return whole
+    cut = rows = _kept(files.rows(*tests, _file().isin(borders)))
+    row_no = F.struct("file", "block", "line")
+    if first:
+        cut = cut.where(row_no >= _place_of(rows, *first))
+    if last:
+        cut = cut.where(row_no <= _place_of(rows, *last))
+    return whole.unionByName(cut)
+
+
+def _unbroken(sep: str) -> Column:
+    """True, or an error for a line that ends within quotes."""
+    quotes = F.length("row") - F.length(F.replace("row", F.lit('"'), F.lit("")))
+    opens = F.col("row").rlike(f'(^|{re.escape(sep)})"')
+    error = F.raise_error(F.concat(F.lit("line breaks in cells need multi_line, in "), "file"))
+    return F.when(opens & (quotes % 2 == 1), error.cast("boolean")).otherwise(F.lit(True))
+
+
+def _read(
+    spark: SparkSession,
+    path: str | list[str],
+    cell_range: str | None,
+    width: int | None,
+    sep: str,
+    multi_line: bool,
+    numbered: bool,
+    *tests: Column,
+) -> DataFrame:
+    area = parse_range(cell_range) if cell_range else CellRange()
+    files = _Files(spark, path, sep, multi_line)
+    if multi_line:
+        if width is None and area.end_column is None:
+            raise ValueError("a grid with line breaks in cells needs width or cell_range")
+        width = min(w for w in (area.end_column, width) if w)
+        files = replace(files, names=tuple(f"c{i}" for i in range(width)))
+        rows = _rows_in(files, area, numbered, *tests)
+    else:
+        rows = _rows_in(files, area, numbered, *tests)
+        if width is None:
+            width = _width_of(rows.select(F.col("row").alias("value")), sep)
+        width = min(w for w in (area.end_column, width) if w)
+        schema = ", ".join(f"c{i} STRING" for i in range(width))
+        parsed = F.from_csv("row", schema, _csv(sep, width))
+        rows = rows.where(_unbroken(sep)).withColumn("row", parsed)
+    cells = [F.col("row")[f"c{i}"] for i in range(area.first_column, width)]
+    return rows.select(
+        F.struct("file", "block", "line").alias("row_no"),
+        (F.array(*cells) if cells else F.array().cast("array<string>")).alias("cells"),
     )
-    rank = n - (hit["up_to"] - hit["count"])
-    row = in_block.orderBy("row_no").limit(rank).agg(F.max("row_no")).first()[0]
-    return row_literal(row, grid.schema["row_no"].dataType)
 
 
 def read_grid(
@@ -95,52 +238,25 @@ def read_grid(
     width: int | None = None,
     sep: str = ",",
     multi_line: bool = False,
-    without: str | None = None,
 ) -> DataFrame:
-    """``(row_no, cells)`` of grid files, except the file ``without``.
+    """``(row_no, cells)`` of grid files.
+
+    ``row_no`` orders the rows: by file, by place in the file.  Spark numbers rows
+    by the tasks that read them, so the rows are written once to the shared folder
+    and the result reads them there: all that is done with it sees one order.
+    Two calls may number the same rows differently.  ``import_files`` writes only
+    the file that holds the header.
 
-    ``row_no`` orders the rows: by file, by place in the file.  It is a struct,
-    so no pass over the data is needed to number rows.  Rows may be ragged:
-    missing cells are NULL, cells beyond the width are left out.  The width is
-    the lesser of the range's and ``width``, which one more pass over the lines
-    finds where it is not given.  A range that ends at a row keeps the
-    first rows in that order.
+    Rows may be ragged: missing cells are NULL, cells beyond the width are left
+    out.  The width is the lesser of the range's and ``width``, which one more
+    pass over the rows finds where it is not given.  A range with rows reads files
+    in order, up to the one where it ends.
 
     Lines are split across tasks.  Cells with line breaks need ``multi_line``,
-    with a known width; then one task reads each file.
+    with a known width; then one task reads each file.  Without it, a line that
+    opens a quoted cell and has an odd number of quotes is an error.
     """
-    area = parse_range(cell_range) if cell_range else CellRange()
-    lines = spark.read.text(path)
-    if width is None:
-        if not multi_line:
-            width = _width_of(lines, sep)
-        elif area.end_column is None:
-            raise ValueError("a grid with line breaks in cells needs width or cell_range")
-    width = min(w for w in (area.end_column, width) if w)
-    names = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} STRING" for n in names)
-    options = {"sep": sep, **_QUOTED, "maxColumns": str(max(width + 1, 20480))}
-    row_no = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    ).alias("row_no")
-    if multi_line:
-        rows, row = spark.read.csv(path, schema=schema, multiLine=True, **options), F.struct(*names)
-    else:
-        rows, row = lines, F.from_csv("value", schema, options)
-    if without is not None:
-        rows = rows.where(F.col("_metadata.file_path") != without)
-    rows = rows.select(row_no, row.alias("row"))
-    cells = F.array(*[F.col("row")[n] for n in names[area.first_column :]])
-    grid = rows.select("row_no", cells.alias("cells"))
-    last = _nth_row(grid, area.end_row) if area.end_row else None
-    if last is not None:
-        grid = grid.where(F.col("row_no") <= last)
-    if area.first_row:
-        before = _nth_row(grid, area.first_row)
-        grid = grid.where(F.lit(False) if before is None else F.col("row_no") > before)
-    return grid
+    return _read(spark, path, cell_range, width, sep, multi_line, True)
 
 
 def import_files(
@@ -158,33 +274,32 @@ def import_files(
     """Find the header of grid files and pack the rows below it.
 
     The header is nearly always in the first file, so that file is searched
-    first.  All other files are then read once, and only as far as the last
-    column that holds a wanted field.  A file's rows are numbered anew by every
-    reading, so the first file and the others stay apart.
+    first; otherwise one pass finds the file that has it.  Only this file's rows
+    are numbered.  All later files are read once, and only as far as the last
+    column that holds a wanted field.  A range with rows is read by ``read_grid``.
 
     ``packing`` are the options of ``pack_rows``; what ``write_grid`` wrote has
     ``repeated_headers``.
     """
     area = parse_range(cell_range) if cell_range else CellRange()
-    options = {"cell_range": cell_range, "sep": sep, "multi_line": multi_line}
-    first = min(spark.read.text(path).inputFiles())
-    place = spark.read.text(first).select("_metadata.file_path").first()
-    all_rows = area.first_row == 0 and area.end_row is None
-    if all_rows and place is not None:
-        head = read_grid(spark, first, width=width, **options)
-        try:
-            header = find_header(head, id_field, fields)
-        except HeaderNotFound:
-            pass
-        else:
-            used = area.first_column + max(header.columns.values()) + 1
-            rest = read_grid(spark, path, width=used, without=place[0], **options)
-            packed = pack_rows(head, header, id_field, fields, **packing).unionByName(
-                pack_rows(rest, replace(header, row_no=None), id_field, fields, **packing)
-            )
-            return packed, header
-    grid = read_grid(spark, path, width=width, **options)
-    return import_grid(grid, id_field, fields, **packing)
+    how = (cell_range, width, sep, multi_line)
+    if area.first_row or area.end_row:
+        return import_grid(_read(spark, path, *how, True), id_field, fields, **packing)
+    file = _Files(spark, path, sep, multi_line).listed().agg(F.min("file")).first()[0]
+    head = _read(spark, path, *how, True, _file() == file)
+    try:
+        header = find_header(head, id_field, fields)
+    except HeaderNotFound:
+        later = _read(spark, path, *how, False, _file() > file)
+        file = later.where(holds(id_field)).agg(F.min("row_no.file")).first()[0]
+        head = _read(spark, path, *how, True, _file() == file)
+        header = find_header(head, id_field, fields)
+    used = area.first_column + max(header.columns.values()) + 1
+    rest = _read(spark, path, cell_range, used, sep, multi_line, False, _file() > file)
+    packed = pack_rows(head, header, id_field, fields, **packing).unionByName(
+        pack_rows(rest, replace(header, row_no=None), id_field, fields, **packing)
+    )
+    return packed, header
 
 
 def write_grid(

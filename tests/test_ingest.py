@@ -12,6 +12,7 @@ from answergrid import (
     import_grid,
     latest_fields,
     latest_per_entity,
+    pack_rows,
     strip,
 )
 from answergrid.sources import (
@@ -180,6 +181,40 @@ def test_range_rows_over_many_blocks(spark, tmp_path):
     assert sorted(int(r["cells"][0]) for r in got) == list(range(1000, 3007))
 
 
+@pytest.mark.parametrize("before, after", [("1", "64"), ("64", "1")])
+def test_row_order_holds_when_files_are_split_anew(spark, tmp_path, before, after):
+    rows = spark.range(0, 2000, 1, 1).selectExpr("concat('r', id, ',', id) AS value")
+    path = str(tmp_path / "g")
+    head = spark.createDataFrame([("title",), ("id,v",)], "value STRING").coalesce(1)
+    head.union(rows).coalesce(1).write.text(path)
+    expected = sorted(f"r{i}" for i in range(2000))
+    options = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": before}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        g = read_grid(spark, path)
+        header = find_header(g, "id", ["v"])
+        imported, _ = import_files(spark, path, "id", ["v"])
+        part = read_grid(spark, path, cell_range="A3:B1502")
+        spark.conf.set("spark.sql.files.minPartitionNum", after)
+        assert [e for e, _ in packed(pack_rows(g, header, "id", ["v"]))] == expected
+        assert [e for e, _ in packed(imported)] == expected
+        assert sorted(int(r["cells"][1]) for r in part.collect()) == list(range(1500))
+    finally:
+        for key in options:
+            spark.conf.unset(key)
+
+
+def test_a_range_reads_only_the_files_it_needs(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,a\n2,b\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("3,c\n4,d\n", encoding="utf-8")
+    (tmp_path / "z.csv").write_text('5,"open\n', encoding="utf-8")
+    part = read_grid(spark, str(tmp_path), cell_range="A2:B3").orderBy("row_no").collect()
+    assert [r["cells"] for r in part] == [["2", "b"], ["3", "c"]]
+    with pytest.raises(Exception, match="multi_line"):
+        read_grid(spark, str(tmp_path)).collect()
+
+
 def test_line_breaks_in_cells(spark, tmp_path):
     (tmp_path / "m.csv").write_text('id,t\n1,"two\nlines"\n', encoding="utf-8")
     g = read_grid(spark, str(tmp_path), width=2, multi_line=True)

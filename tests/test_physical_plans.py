@@ -15,6 +15,7 @@ from answergrid import (
 )
 from answergrid.functions import strategies
 from answergrid.operators.ingest import Header
+from answergrid.plans import QUERIES
 from answergrid.plans.registry import table
 
 
@@ -39,6 +40,15 @@ def test_one_parse_and_no_shuffle_per_document(spark, sf_dir):
     assert plan.count("parseJson(") == 1
 
 
+def test_one_parse_with_a_filter_on_a_new_column(spark, sf_dir):
+    df = fields_as_columns(events(spark, sf_dir), "props", ["k", "other"])
+    plan = physical(df.where("k <> '' and other like 'a%'").drop("props"))
+    assert plan.count("parseJson(") == 1
+    assert "Exchange" not in plan
+    plan = physical(QUERIES["sql_json_fields"].run(spark, sf_dir))
+    assert plan.count("parseJson(") == 1
+
+
 def test_columns_and_filters_reach_the_scan(spark, sf_dir):
     df = fields_as_columns(events(spark, sf_dir), "props", ["k"]).where("user_id = 3").select("k")
     plan = physical(df)
