@@ -283,6 +283,14 @@ def test_metrics_of_a_run(spark, tmp_path):
     assert report["duration_ms"] >= 0
 
 
+def test_documents_that_are_not_json_are_counted(spark, tmp_path):
+    df = spark.createDataFrame([('{"a":1}',), ("{bad",), ("",), (None,), ("null",)], "j STRING")
+    run = Run("json")
+    run.watch(df, json_in=["j"]).write.parquet(str(tmp_path / "w"))
+    report = run.report()
+    assert (report["rows"], report["not_json_j"]) == (5, 2)
+
+
 def test_jdbc_options():
     assert "numPartitions" not in jdbc_options("jdbc:x", "t")
     options = jdbc_options("jdbc:x", "t", partition_column="id", lower=0, upper=9, partitions=3)

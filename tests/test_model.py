@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from answergrid import field_names, fields_as_columns, register_sql_functions
 
 TITLES = ["Age", "age group", "a_e", "100%", "Name", "e", "Ваше имя", "x" * 40, "%", "no such"]
+# Keys that decide results.
 MATCH = ["question_title", "title", "question", "name"]
 VALUES = ["value_text", "answer", "text", "value", "response"]
 ROOT_VALUES = ["value_text", "value", "text", "answer", "response", "description", "comment"]
@@ -23,39 +24,39 @@ def text_of(value):
     return json.dumps(value, separators=(",", ":"), sort_keys=True)
 
 
-def like(text, title):
+def like(text, title, length):
     parts = {"%": ".*", "_": "."}
-    pattern = "".join(parts.get(c, re.escape(c)) for c in title[:30].lower())
+    pattern = "".join(parts.get(c, re.escape(c)) for c in title[:length].lower())
     return re.fullmatch(f".*{pattern}.*", text.lower(), re.DOTALL) is not None
 
 
-def first_value(items, title, match_keys, value_keys):
+def first_value(items, title, length, match_keys, value_keys):
     for item in items:
         if not isinstance(item, dict):
             continue
         texts = (text_of(item.get(k)) for k in match_keys)
-        if any(t is not None and like(t, title) for t in texts):
+        if any(t is not None and like(t, title, length) for t in texts):
             found = (text_of(item.get(k)) for k in value_keys)
             return next((v for v in found if v is not None), "")
     return None
 
 
-def model(doc, title):
+def model(doc, title, length=None):
     listed = doc.get("list") if isinstance(doc, dict) else None
-    found = first_value(listed if isinstance(listed, list) else [], title, MATCH, VALUES)
+    found = first_value(listed if isinstance(listed, list) else [], title, length, MATCH, VALUES)
     if found is None:
         root = doc if isinstance(doc, list) else [doc]
-        found = first_value(root, title, [*MATCH, "label", "key"], ROOT_VALUES)
+        found = first_value(root, title, length, [*MATCH, "label", "key"], ROOT_VALUES)
     return "" if found is None else found
 
 
-def check(spark, docs):
+def check(spark, docs, length=None):
     rows = [(i, json.dumps(d, ensure_ascii=False)) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "id INT, j STRING")
-    got = {r["id"]: r for r in fields_as_columns(df, "j", TITLES).collect()}
+    got = {r["id"]: r for r in fields_as_columns(df, "j", TITLES, pattern_length=length).collect()}
     for i, doc in enumerate(docs):
         for name, title in zip(field_names(TITLES), TITLES):
-            assert got[i][name] == model(doc, title), (doc, title)
+            assert got[i][name] == model(doc, title, length), (doc, title)
 
 
 def random_document(r):
@@ -87,7 +88,9 @@ def element_or_empty(element):
 
 def test_many_random_documents(spark):
     r = random.Random(7)
-    check(spark, [random_document(r) for _ in range(20_000)])
+    docs = [random_document(r) for _ in range(20_000)]
+    check(spark, docs)
+    check(spark, docs, 30)
 
 
 def test_sql_function_on_random_documents(spark):
@@ -95,11 +98,15 @@ def test_sql_function_on_random_documents(spark):
     docs = [random_document(r) for _ in range(3_000)]
     rows = [(i, json.dumps(d, ensure_ascii=False), r.choice(TITLES)) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "id INT, j STRING, t STRING")
-    register_sql_functions(spark)
-    got = spark.sql("SELECT id, json_field(j, t) AS by_column, json_field(j, 'Age') AS age FROM {df}", df=df)
-    for row, (i, _, title) in zip(got.orderBy("id").collect(), rows):
-        assert row["by_column"] == model(docs[i], title), (docs[i], title)
-        assert row["age"] == model(docs[i], "Age")
+    for length in (30, None):
+        register_sql_functions(spark, length)
+        got = spark.sql(
+            "SELECT id, json_field(j, t) AS one, json_fields(j, array('Age', t)) AS both FROM {df}", df=df
+        )
+        for row, (i, _, title) in zip(got.orderBy("id").collect(), rows, strict=True):
+            expected = model(docs[i], title, length)
+            assert row["one"] == expected, (docs[i], title)
+            assert row["both"] == [model(docs[i], "Age", length), expected], (docs[i], title)
 
 
 scalars = st.one_of(st.none(), st.booleans(), st.integers(-9, 9), st.sampled_from(TEXTS))
