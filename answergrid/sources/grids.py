@@ -222,7 +222,9 @@ def _read(
         width = min(w for w in (area.end_column, width) if w)
         schema = ", ".join(f"c{i} STRING" for i in range(width))
         parsed = F.from_csv("row", schema, _csv(sep, width))
-        rows = rows.where(_unbroken(sep)).withColumn("row", parsed)
+        # A generator of one row, so that no filter on cells parses a line again.
+        once = F.explode_outer(F.array(parsed)).alias("row")
+        rows = rows.where(_unbroken(sep)).select("file", "block", "line", once)
     cells = [F.col("row")[f"c{i}"] for i in range(area.first_column, width)]
     return rows.select(
         F.struct("file", "block", "line").alias("row_no"),
