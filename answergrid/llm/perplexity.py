@@ -1,13 +1,18 @@
 """Quality rules: repetition and size rules, then n-gram perplexity bands per language.
 
-A character becomes one of 32 symbols (fixed values below), and every language gets a
-modified Kneser-Ney model of symbol 4-grams. Tasks count the 4-grams of their texts,
-Spark adds the counts up over all documents, and one task per language turns at most
-2^20 counts into the model: sorted arrays of 4-grams with their log-probabilities, of
-contexts with their back-off weights, and of 3-grams with theirs, mixed down to the
-uniform distribution. The alphabet bounds them, 12 MB a language, however much text
-was counted. Languages are scored in rounds of ``ROUND`` languages, so a broadcast is
-bounded too.
+A character, in lower case, is one of 4,096 symbols, and every language gets a modified
+Kneser-Ney model of symbol 5-grams, whose number grows with the text.
+
+1. Tasks count the 5-grams of their texts; Spark adds the counts up. How many symbols
+   come before a gram is its count in the next lower order.
+2. Spark computes the probabilities order by order, from single symbols up: a window over
+   each context (of at most 4,096 grams) and a join with the order below. A text is part
+   of the corpus that judges it, so each gram's probability leaves one occurrence of
+   itself out: text that is like no other gets the low probability it would have had.
+3. The grams of each language and their log-probabilities are sorted arrays in the shared
+   folder. Every gram of a text has been counted, so scoring needs no lower orders.
+   Tasks search the arrays, ``ROUND_GRAMS`` grams (12 bytes each) at a time, which bounds
+   every broadcast; a larger model takes several passes, whose sums are added per row.
 
 A text's score is its log-perplexity, the mean negative log-probability of its symbols.
 Per language the median and the median absolute deviation of all texts that pass the
@@ -24,21 +29,23 @@ columns go through; columns with the results' names are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answergrid.llm.batches import SPACE, rolling, runs, slices, span_hashes, stored, text_bytes, texts_of, windows
 
-ORDER = 4
-BITS = 5
-GRAMS = 1 << (ORDER * BITS)
-CONTEXTS = GRAMS >> BITS
-ROUND = 8
+ORDER = 5
+BITS = 12
+#: A task counts this many grams before it gives them out, and stores them in arrays of PIECE_GRAMS.
+HELD_GRAMS = 1 << 22
+PIECE_GRAMS = 1 << 18
+#: Grams that tasks hold at a time while they score.
+ROUND_GRAMS = 1 << 23
 WIDTH = 6.0
 SHORT = 1000
 LEAST_DEVIATION = 0.02
@@ -51,28 +58,25 @@ _COUNTS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols"
 
 @cache
 def _symbols() -> np.ndarray:
-    """The symbol of each code point: 0 white space, 1 to 26 letters of either case, 27 digits,
-    28 other ASCII, 29 and 30 letters beyond ASCII (even and odd code points in lower case), 31 the rest."""
-    table = np.full(0x110000, 31, np.uint8)
-    table[:128] = 28
-    for i in range(128, 0x110000):
+    """The symbol of each code point: 0 for white space, 48 for digits, else the last 12 bits of its lower case."""
+    table = np.arange(0x110000)
+    for i in range(0x110000):
         c = chr(i)
         if c.isspace():
             table[i] = 0
-        elif c.isalpha():
-            table[i] = 29 + ord(c.lower()[0]) % 2
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    table[48:58] = 27
-    table[65:91] = table[97:123] = np.arange(1, 27)
-    return table
+        elif c.isdigit():
+            table[i] = 48
+        elif c.isupper():
+            table[i] = ord(c.lower()[0])
+    return table & ((1 << BITS) - 1)
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each symbol, and its row; a text begins after white space."""
+    """The 5-gram that ends at each symbol, and its row; a text begins after white space."""
     texts = column.fill_null("").to_pylist()
     sizes = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = _symbols()[codes].astype(np.int64)
+    symbol = _symbols()[codes]
     row = np.repeat(np.arange(len(texts)), sizes)
     same = np.concatenate(([False], row[1:] == row[:-1])) if len(row) else np.zeros(0, bool)
     keep = (symbol != 0) | ~np.concatenate(([False], symbol[:-1] == 0))[: len(symbol)] | ~same
@@ -88,102 +92,121 @@ def _languages(batch: pa.RecordBatch) -> np.ndarray:
     return np.array(["" if x is None else x for x in texts_of(batch, "lang").to_pylist()], dtype=object)
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams and their summed counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] = {}
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    fresh = 0
 
     def given() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(counts[used])], ["lang", "gram", "n"]
-            )
+        for lang, parts in held.items():
+            keys, counts = _added(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
         held.clear()
 
     for batch in slices(batches):
         key, row = grams(texts_of(batch))
         lang = _languages(batch)
         for name in dict.fromkeys(lang):
-            if len(held) >= ROUND and name not in held:
+            mine, counts = np.unique(key[(lang == name)[row]], return_counts=True)
+            if len(mine):
+                held.setdefault(name, []).append((mine, counts.astype(np.int64)))
+                fresh += len(mine)
+        if fresh >= HELD_GRAMS:
+            for name, parts in held.items():
+                held[name] = [_added(parts)]
+            if 2 * sum(len(parts[0][0]) for parts in held.values()) > HELD_GRAMS:
                 yield from given()
-            mine = key[(lang == name)[row]]
-            held.setdefault(name, np.zeros(GRAMS, np.int64))
-            held[name] += np.bincount(mine, minlength=GRAMS)
+            fresh = 0
     yield from given()
 
 
-def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney from the counts of counts."""
-    n1, n2, n3, n4 = (float((counts == i).sum()) for i in (1, 2, 3, 4))
-    if not (n1 and n2):
-        return 0.5, 0.5, 0.5
+def _discounts(level: DataFrame) -> DataFrame:
+    """Per language the three discounts of modified Kneser-Ney, from the counts of counts; one row a language."""
+    times = level.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
-    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))
-
-
-def _mixed_down(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of seen grams, seen contexts, and their back-off weights."""
-    d1, d2, d3 = _discounts(counts)
-    context = keys >> BITS
-    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    total = np.add.reduceat(counts, first).astype(float)
-    off = np.where(counts == 1, d1, np.where(counts == 2, d2, d3))
-    weight = np.add.reduceat(off, first) / total
-    at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-    prob = np.maximum(counts - off, 0) / total[at] + weight[at] * lower[keys & (len(lower) - 1)]
-    return prob, context[first], weight
-
-
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The model of sorted 4-grams and their counts."""
-    lower = np.full(1 << BITS, 1.0 / (1 << BITS))
-    grams_of = [keys]
+    plain = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, F.when(n3 > 0, 3 - 4 * y * n4 / n3).otherwise(1.5))
+    bounded = [F.least(F.greatest(d, F.lit(0.05)), F.lit(i + 0.95)) for i, d in enumerate(plain)]
+    used = [F.when((n1 > 0) & (n2 > 0), d).otherwise(0.5).alias(f"d{i + 1}") for i, d in enumerate(bounded)]
+    return times.select("lang", *used)
+
+
+def _discount(n: Column) -> Column:
+    return F.when(n <= 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def _mixed_up(level: DataFrame, below: DataFrame | None, order: int) -> DataFrame:
+    """``prob`` of each gram, and ``left_out``: its probability without one occurrence of itself."""
+    n = F.col("n")
+    # Written, so that Spark knows how small it is and need not deal grams by language.
+    level = level.join(stored(_discounts(level), "gram-discounts"), "lang")
+    context = Window.partitionBy("lang", F.shiftright("gram", BITS))
+    level = level.withColumn("total", F.sum("n").over(context)).withColumn("off", F.sum(_discount(n)).over(context))
+    if below is None:
+        level = level.withColumn("low", F.lit(2.0**-BITS)).withColumn("low_out", F.lit(2.0**-BITS))
+    else:
+        level = level.withColumn("suffix", _suffix(order - 1))
+        level = level.join(below.select("lang", F.col("gram").alias("suffix"), F.col("prob").alias("low"), F.col("left_out").alias("low_out")), ["lang", "suffix"])
+    total, off, low, low_out = (F.col(c) for c in ("total", "off", "low", "low_out"))
+    less = n - 1 - _discount(n - 1) + (off - _discount(n) + _discount(n - 1)) * F.when(n == 1, low_out).otherwise(low)
+    return level.select(
+        "lang", "gram", ((n - _discount(n) + off * low) / total).alias("prob"), F.when(total > 1, less / (total - 1)).otherwise(low_out).alias("left_out")
+    )
+
+
+def _suffix(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << (order * BITS)) - 1).cast("long"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """``lang, gram, prob, left_out`` of counted 5-grams (``lang, gram, n``)."""
+    levels = [counts]
     for order in range(ORDER - 1, 0, -1):
-        grams_of.append(np.unique(grams_of[-1] & ((1 << (order * BITS)) - 1)))
-    for order in range(1, ORDER):
-        # How many symbols come before a gram is what counts below the highest order.
-        longer = grams_of[ORDER - order - 1] & ((1 << (order * BITS)) - 1)
-        seen, before = np.unique(longer, return_counts=True)
-        prob, context, weight = _mixed_down(seen, before, lower)
-        grown = np.ones(1 << max((order - 1) * BITS, 0))
-        grown[context] = weight
-        full = (grown[:, None] * lower.reshape(-1, 1 << BITS)[np.arange(len(grown)) % (len(lower) >> BITS)]).ravel()
-        full[seen] = prob
-        lower = full
-    prob, context, weight = _mixed_down(keys, counts, lower)
-    return {
-        "grams": keys.astype(np.int32), "log_probs": np.log(prob).astype(np.float32),
-        "contexts": context.astype(np.int32), "log_weights": np.log(weight).astype(np.float32),
-        "log_lower": np.log(lower).astype(np.float32),
-    }
-
-
-_ARRAYS = ["grams", "log_probs", "contexts", "log_weights", "log_lower"]
-_TYPES = [np.int32, np.float32, np.int32, np.float32, np.float32]
-
-
-def build_model(key: tuple, table: pa.Table) -> pa.Table:
-    order = np.argsort(table.column("gram").to_numpy())
-    model = kneser_ney(table.column("gram").to_numpy()[order].astype(np.int64), table.column("n").to_numpy()[order])
-    return pa.table({"lang": pa.array([key[0].as_py()], pa.string())} | {a: pa.array([model[a].tobytes()], pa.binary()) for a in _ARRAYS})
-
-
-def expanded(model: dict[str, np.ndarray]) -> np.ndarray:
-    """The log-probability of every 4-gram, looked up in the sorted arrays."""
-    every = np.arange(GRAMS)
-    context = every >> BITS
-    place = np.minimum(np.searchsorted(model["contexts"], context), len(model["contexts"]) - 1)
-    out = np.where(model["contexts"][place] == context, model["log_weights"][place], 0) + model["log_lower"][every % CONTEXTS]
-    out[model["grams"]] = model["log_probs"]
-    return out.astype(np.float32)
+        levels.append(stored(levels[-1].groupBy("lang", _suffix(order).alias("gram")).agg(F.count("*").alias("n")), "gram-counts"))
+    below = None
+    for order, level in enumerate(reversed(levels), 1):
+        below = _mixed_up(level, below, order)
+    return below
+
+
+def to_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted arrays of the grams of each language and their log-probabilities."""
+    held: list[pa.RecordBatch] = []
+
+    def given() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).sort_by([("lang", "ascending"), ("gram", "ascending")])
+        lang = np.array(table.column("lang").to_pylist(), dtype=object)
+        gram, log_prob = table.column("gram").to_numpy(), table.column("log_prob").to_numpy()
+        for name in dict.fromkeys(lang):
+            mine = lang == name
+            columns = [[name], [int(mine.sum())], [gram[mine].astype("<i8").tobytes()], [log_prob[mine].astype("<f4").tobytes()]]
+            types = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "n", "grams", "log_probs"])
+        held.clear()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PIECE_GRAMS:
+            yield from given()
+    if held:
+        yield from given()
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """The models of all languages of ``text, lang`` rows."""
-    counts = docs.select("text", "lang").mapInArrow(count_grams, "lang string, gram int, n long")
-    summed = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    schema = "lang string, " + ", ".join(f"{a} binary" for a in _ARRAYS)
-    return stored(summed.groupBy("lang").applyInArrow(build_model, schema), "language-models")
+    """The models of all languages of ``text, lang`` rows, as pieces of sorted arrays."""
+    counts = docs.select("text", "lang").mapInArrow(count_grams, "lang string, gram long, n long")
+    counts = stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
+    logs = kneser_ney(counts).select("lang", "gram", F.log("left_out").cast("float").alias("log_prob"))
+    pieces = logs.mapInArrow(to_arrays, "lang string, n long, grams binary, log_probs binary")
+    return stored(pieces.withColumn("piece", F.expr("uuid()")), "language-models")
 
 
 def repeats(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -224,48 +247,91 @@ def _again(hashes: np.ndarray, row: np.ndarray, later_only: bool) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame) -> DataFrame:
+def _rounds(models: DataFrame, most: int) -> list[list[str]]:
+    """The pieces of each round, in the order of their languages; there are 2^18 grams to a piece."""
+    rounds, room = [[]], most
+    for r in models.select("piece", "n").orderBy("lang", "piece").toLocalIterator():
+        if rounds[-1] and r["n"] > room:
+            rounds.append([])
+            room = most
+        rounds[-1].append(r["piece"])
+        room -= r["n"]
+    return rounds
+
+
+def _arrays(models: DataFrame, pieces: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The sorted arrays of one round, by language."""
+    parts: dict[str, list] = {}
+    for r in models.where(F.col("piece").isin(pieces)).collect() if pieces else []:
+        parts.setdefault(r["lang"], []).append((np.frombuffer(r["grams"], "<i8"), np.frombuffer(r["log_probs"], "<f4")))
+    out = {}
+    for lang, found in parts.items():
+        gram, log_prob = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(gram)
+        out[lang] = gram[order], log_prob[order]
+    return out
+
+
+def score(docs: DataFrame, round_grams: int = ROUND_GRAMS) -> DataFrame:
     """The documents with the counts of the rules and ``log_perplexity``."""
     spark = docs.sparkSession
-    plain = docs.drop(*RESULTS)
+    plain = docs.drop(*RESULTS, "_row")
     models = train(plain)
-    names = sorted(r["lang"] for r in models.select("lang").collect())
-    schema = T.StructType([*plain.schema.fields, *[T.StructField(n, t) for n, t in _COUNTS]])
-    lang = F.coalesce("lang", F.lit(""))
-    parts = []
-    for start in range(0, max(1, len(names)), ROUND):
-        own = names[start : start + ROUND]
-        rows = models.where(F.col("lang").isin(own)).collect() if own else []
-        arrays = {r["lang"]: {a: np.frombuffer(r[a], t) for a, t in zip(_ARRAYS, _TYPES, strict=True)} for r in rows}
-        chosen = plain.where(lang.isin(own)) if len(names) > ROUND else plain
-        parts.append(chosen.mapInArrow(_scorer(spark.sparkContext.broadcast(arrays), schema.names), schema))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rounds = _rounds(models, round_grams)
+    if len(rounds) > 1:
+        # Rows get a number in a written table, so that the sums of all rounds find them again.
+        plain = stored(plain.withColumn("_row", F.expr("uuid()")), "quality-rows")
+    counted = T.StructType([*plain.schema.fields, *[T.StructField(n, t) for n, t in _COUNTS]])
+    last = spark.sparkContext.broadcast(_arrays(models, rounds[-1]))
+    scored = plain.mapInArrow(_scorer(last, counted.names), counted)
+    sums = []
+    for pieces in rounds[:-1]:
+        arrays = _arrays(models, pieces)
+        asked = plain.where(F.coalesce("lang", F.lit("")).isin(list(arrays))).select("_row", "text", "lang")
+        sums.append(stored(asked.mapInArrow(_summer(spark.sparkContext.broadcast(arrays)), "_row string, more double"), "quality-sums"))
+    if not sums:
+        return scored
+    more = reduce(DataFrame.unionByName, sums).groupBy("_row").agg(F.sum("more").alias("more"))
+    scored = scored.join(more, "_row", "left")
+    whole = F.col("log_perplexity") + F.coalesce("more", F.lit(0.0))
+    return scored.withColumn("log_perplexity", whole).drop("_row", "more")
+
+
+def surprise(batch: pa.RecordBatch, arrays: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Per row the mean negative log-probability of its symbols; a gram that is not in the arrays adds nothing."""
+    key, row = grams(texts_of(batch))
+    lang = _languages(batch)
+    total = np.zeros(batch.num_rows)
+    for name in dict.fromkeys(lang):
+        if name in arrays:
+            known, log_prob = arrays[name]
+            mine = np.flatnonzero((lang == name)[row])
+            mine = mine[np.argsort(key[mine])]
+            asked = key[mine]
+            first = np.flatnonzero(np.concatenate(([True], asked[1:] != asked[:-1]))) if len(asked) else mine
+            place = np.minimum(np.searchsorted(known, asked[first]), len(known) - 1)
+            value = np.where(known[place] == asked[first], log_prob[place], 0.0)
+            total += np.bincount(row[mine], np.repeat(value, np.diff(np.append(first, len(asked)))), batch.num_rows)
+    return -total / np.maximum(np.bincount(row, minlength=batch.num_rows), 1)
 
 
 def _scorer(shared, names: list[str]):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
         for batch in slices(batches):
-            key, row = grams(texts_of(batch))
-            lang = _languages(batch)
-            total = np.zeros(batch.num_rows)
-            for name in dict.fromkeys(lang):
-                if name not in tables and name in shared.value:
-                    tables[name] = expanded(shared.value[name])
-                if name in tables:
-                    mine = (lang == name)[row]
-                    total += np.bincount(row[mine], tables[name][key[mine]], batch.num_rows)
-            n = np.bincount(row, minlength=batch.num_rows)
-            perplexity = np.where(n > 0, -total / np.maximum(n, 1), 0.0)
             counts = [pa.array(np.asarray(x, np.int64)) for x in repeats(texts_of(batch))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(perplexity)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(surprise(batch, shared.value) + 0.0)], names)
 
     return scored
 
 
+def _summer(shared):
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([texts_of(batch, "_row"), pa.array(surprise(batch, shared.value))], ["_row", "more"])
+
+    return summed
+
+
 def judge_quality(docs: DataFrame) -> DataFrame:
     """The documents, without their text, with the counts, ``log_perplexity``, ``base_failed`` and ``kept``."""
     scored = score(docs)

@@ -192,13 +192,74 @@ def test_quality(spark, docs):
     assert judge_quality(docs.limit(0)).count() == 0
 
 
-def test_model_adds_up():
+def brute_kneser_ney(counts, level_discounts):
+    """All probabilities by definition: counts maps 5-grams (tuples) of one language."""
+    levels = {5: counts}
+    for m in range(4, 0, -1):
+        levels[m] = {}
+        for g in levels[m + 1]:
+            levels[m][g[1:]] = levels[m].get(g[1:], 0) + 1
+
+    def prob(m, g):
+        if m == 0:
+            return 2.0**-12
+        d = level_discounts(levels[m])
+        near = {x: n for x, n in levels[m].items() if x[:-1] == g[:-1]}
+        if not near:
+            return prob(m - 1, g[1:])
+        off = sum(d[min(n, 3)] for n in near.values())
+        n = levels[m].get(g, 0)
+        return (n - d[min(n, 3)] + off * prob(m - 1, g[1:])) / sum(near.values())
+
+    def left_out(m, g):
+        if m == 0:
+            return 2.0**-12
+        d = level_discounts(levels[m])
+        near = {x: n - (x == g) for x, n in levels[m].items() if x[:-1] == g[:-1]}
+        lower = left_out(m - 1, g[1:]) if levels[m][g] == 1 else prob(m - 1, g[1:])
+        if not sum(near.values()):
+            return lower
+        off = sum(d[min(n, 3)] for n in near.values())
+        return (near[g] - d[min(near[g], 3)] + off * lower) / sum(near.values())
+
+    return {g: (prob(5, g), left_out(5, g)) for g in counts}, prob
+
+
+def brute_discounts(level):
+    n1, n2, n3, n4 = (sum(n == i for n in level.values()) for i in (1, 2, 3, 4))
+    if not (n1 and n2):
+        return [0, 0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    plain = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return [0, *[min(max(x, 0.05), i + 0.95) for i, x in enumerate(plain)]]
+
+
+def packed(gram):
+    return sum(s << (12 * (4 - i)) for i, s in enumerate(gram))
+
+
+def test_model_is_kneser_ney(spark):
     rng = np.random.default_rng(2)
-    keys, counts = np.unique(rng.integers(0, 6, (3000, 4)) @ np.array([1 << 15, 1 << 10, 1 << 5, 1]), return_counts=True)
-    from answergrid.llm.perplexity import expanded
-
-    total = np.exp(expanded(kneser_ney(keys, counts)).astype(float)).reshape(-1, 32).sum(axis=1)
-    assert np.allclose(total, 1, atol=1e-4)
+    drawn = [tuple(g) for g in rng.choice([1, 2, 4095], (300, 5), p=[0.6, 0.3, 0.1]).tolist()]
+    counts = {g: drawn.count(g) for g in drawn}
+    table = spark.createDataFrame([(lang, packed(g), n) for lang in ("a", "b") for g, n in counts.items()], "lang string, gram long, n long")
+    wanted, prob = brute_kneser_ney(counts, brute_discounts)
+    got = {(r["lang"], r["gram"]): (r["prob"], r["left_out"]) for r in kneser_ney(table).collect()}
+    assert len(got) == 2 * len(counts)
+    for g, w in wanted.items():
+        assert np.allclose(got["a", packed(g)], w) and np.allclose(got["b", packed(g)], w)
+    assert np.isclose(sum(prob(5, (1, 2, 1, 1, s)) for s in (1, 2, 4095)) + 4093 * prob(5, (1, 2, 1, 1, 7)), 1)
+
+
+def test_rounds_of_a_model_add_up(spark, docs):
+    from answergrid.llm.perplexity import score
+
+    def scores(df):
+        return sorted((str(r["doc_id"]), str(r["text"]), round(r["log_perplexity"], 5)) for r in df.collect())
+
+    whole = scores(score(docs))
+    assert scores(score(docs, round_grams=1)) == whole
+    assert len(whole) == len(ROWS) and max(s for _, _, s in whole) > 1
 
 
 def test_chats(spark):
