@@ -1,15 +1,17 @@
 """Language ID: bit-sliced Bloom filters over character n-grams.
 
 Learning counts, for every language, the n-grams of its texts over all of them.
-A language owns an n-gram if it uses it at least ``SHARE`` times as often as the
-language that uses it most. All filters have one size and lie beside each other:
+A language owns an n-gram if it is at least ``LEAST_RATE`` of all its n-grams and it
+uses it at least ``SHARE`` times as often as the language that uses it most. A language
+so owns at most ``1 / LEAST_RATE`` n-grams, however much text there is, and the rare
+n-grams that ever more text brings do not fill its filter. All filters have one size and lie beside each other:
 position p holds a mask with one bit per language, so one read answers for 64
 languages, and the AND of a few positions names all languages that own an n-gram.
 Predicting counts, per language, how many n-grams of the text it owns, takes off
 the false positives to be expected from its filter's fill, and names the largest.
 
 The filter has ``POSITIONS`` positions of one 64-bit mask for each 64 languages:
-8 MB, however much text there is, and that is what is collected and broadcast.
+16 MB, however much text there is, and that is what is collected and broadcast.
 
 Cases: NULL texts and texts without a letter are ``und`` with score 0. A text with
 letters but without a known n-gram gets the language with the most learned n-grams,
@@ -33,10 +35,11 @@ from pyspark.sql import types as T
 from answergrid.llm.batches import mixed, slices, stored, texts_of
 
 GRAM = 4
-POSITION_BITS = 20
+POSITION_BITS = 21
 POSITIONS = 1 << POSITION_BITS
 PROBES = 3
 SHARE = 0.1
+LEAST_RATE = 1e-6
 UNKNOWN = "und"
 
 
@@ -140,7 +143,7 @@ def learn(labelled: DataFrame) -> LanguageFilter:
     if names:
         known = spark.createDataFrame([(i, name, float(totals[name])) for i, name in enumerate(names)], "i int, lang string, total double")
         rates = counts.join(F.broadcast(known), "lang").withColumn("rate", F.col("n") / F.col("total"))
-        best = rates.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("i", "rate")).alias("all"))
+        best = rates.where(F.col("rate") >= LEAST_RATE).groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("i", "rate")).alias("all"))
         # A gram has one row per language at most.
         owned = best.select("gram", F.inline(F.filter("all", lambda x: x["rate"] >= SHARE * F.col("best"))))
         bits = (

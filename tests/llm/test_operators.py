@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from answergrid.llm import line_dedup, near_dedup, toxicity, warc_zip
+from answergrid.llm import language_id, line_dedup, near_dedup, toxicity, warc_zip
 from answergrid.llm.batches import words
 from answergrid.llm.chat import format_chats
 from answergrid.llm.decontaminate import decontaminate, find_benchmark
@@ -73,6 +73,21 @@ def test_languages(spark, docs):
     assert {r["lang_pred"] for r in identify(asked, learn(docs.limit(0))).collect()} <= {"und"}
 
 
+def test_rare_grams_are_not_owned(spark, monkeypatch):
+    teach = [(i, "the cat and the dog sat here", "en") for i in range(9)] + [(9, "the cat xqzv", "en")]
+    df = spark.createDataFrame(teach, "doc_id LONG, text STRING, lang STRING")
+    asked = spark.createDataFrame([(1, "xqzv xqzv"), (2, "the cat")], "doc_id LONG, text STRING")
+
+    def known():
+        return [r["known"] for r in identify(asked, learn(df)).orderBy("doc_id").collect()]
+
+    rare, usual = known()
+    assert rare > 0.3 and usual > 0.99
+    monkeypatch.setattr(language_id, "LEAST_RATE", 0.01)
+    rare, usual = known()
+    assert rare < 0.01 and usual > 0.99
+
+
 def brute_contamination(text, items):
     w = WORD.findall((text or "").lower())
     hit, found = set(), set()
