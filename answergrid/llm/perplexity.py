@@ -15,10 +15,12 @@ Kneser-Ney model of symbol 5-grams, whose number grows with the text.
    every broadcast; a larger model takes several passes, whose sums are added per row.
 
 A text's score is its log-perplexity, the mean negative log-probability of its symbols.
-Per language the median and the median absolute deviation of all texts that pass the
-rules give a band, ``WIDTH`` deviations (of at least ``LEAST_DEVIATION``) to each side,
-and wider by ``sqrt(1 + SHORT / characters)`` for shorter texts, whose mean varies more;
-texts outside are rejected.
+Per language a band rejects the texts outside it. Its middle is the median of all texts
+that pass the rules. How far they lie from it, divided by ``sqrt(1 + SHORT / characters)``
+since the mean of a shorter text varies more, has a median below the middle and one above;
+the edges are ``BELOW`` and ``ABOVE`` of their own side's deviations (of at least
+``LEAST_DEVIATION``) away.
+Texts of one language, length and score count once, so that copies do not narrow a band.
 
 Cases: NULL text has no words and fails the rules. A NULL lang is a language of its
 own. A language whose texts all fail the rules has no band and rejects nothing more.
@@ -46,9 +48,10 @@ HELD_GRAMS = 1 << 22
 PIECE_GRAMS = 1 << 18
 #: Grams that tasks hold at a time while they score.
 ROUND_GRAMS = 1 << 23
-WIDTH = 6.0
-SHORT = 1000
-LEAST_DEVIATION = 0.02
+BELOW = 4.0
+ABOVE = 3.5
+SHORT = 3000
+LEAST_DEVIATION = 0.01
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 SYMBOLS = b"#*$%&|<>"
@@ -337,14 +340,26 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     scored = score(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = stored(scored.drop("text").withColumn("base_failed", failed), "quality-scores")
-    lang = F.coalesce("lang", F.lit(""))
-    # In thousandths, so that exact percentiles need a bounded number of values.
-    passed = scored.where("not base_failed").select(lang.alias("l"), F.round(F.col("log_perplexity") * 1000).cast("long").alias("x"))
-    middle = passed.groupBy("l").agg(F.percentile("x", F.lit(0.5)).alias("middle"))
-    middle = stored(middle, "perplexity-medians")
-    spread = passed.join(middle, "l").groupBy("l", "middle").agg(F.percentile(F.abs(F.col("x") - F.col("middle")), F.lit(0.5)).alias("spread"))
-    reach = F.greatest(F.col("spread") * 1.4826 / 1000, F.lit(LEAST_DEVIATION)) * WIDTH
-    bands = stored(spread.select("l", (F.col("middle") / 1000).alias("middle"), reach.alias("reach")), "perplexity-bands")
-    wider = F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1)))
-    inside = F.coalesce(F.abs(F.col("log_perplexity") - F.col("middle")) <= F.col("reach") * wider, F.lit(True))
-    return scored.join(bands, lang == F.col("l"), "left").withColumn("kept", ~F.col("base_failed") & inside).drop("l", "middle", "reach")
+    bands = stored(_bands(scored.where("not base_failed")), "perplexity-bands")
+    off = F.col("log_perplexity") - F.col("middle")
+    inside = F.coalesce((off / _wider()).between(-F.col("below"), F.col("above")), F.lit(True))
+    judged = scored.join(bands, F.coalesce("lang", F.lit("")) == F.col("l"), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("l", "middle", "below", "above")
+
+
+def _wider() -> Column:
+    return F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1)))
+
+
+def _bands(passed: DataFrame) -> DataFrame:
+    """``l, middle, below, above``: the middle of each language, and how far its band reaches to each side."""
+    # In small steps, so that exact percentiles need a bounded number of values.
+    step = F.round(F.col("log_perplexity") * 1000).cast("long")
+    passed = stored(passed.select(F.coalesce("lang", F.lit("")).alias("l"), "word_chars", step.alias("x")).distinct(), "perplexities")
+    middle = stored(passed.groupBy("l").agg(F.percentile("x", F.lit(0.5)).alias("middle")), "perplexity-medians")
+    off = F.round(10 * (F.col("x") - F.col("middle")) / _wider()).cast("long")
+    reaches = [
+        (F.greatest(F.percentile(F.when(side * F.col("off") >= 0, F.abs("off")), F.lit(0.5)) * 1.4826 / 10_000, F.lit(LEAST_DEVIATION)) * width).alias(name)
+        for name, side, width in (("below", -1, BELOW), ("above", 1, ABOVE))
+    ]
+    return passed.join(middle, "l").withColumn("off", off).groupBy("l", (F.col("middle") / 1000).alias("middle")).agg(*reaches)

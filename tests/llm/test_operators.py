@@ -207,6 +207,23 @@ def test_quality(spark, docs):
     assert judge_quality(docs.limit(0)).count() == 0
 
 
+def test_bands_reject_text_unlike_its_language(spark):
+    rng = np.random.default_rng(4)
+    known = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(300)]
+    odds = 1 / np.arange(1, 301)
+
+    def text(n, strange):
+        drawn = rng.choice(known, n, p=odds / odds.sum())
+        return " ".join("".join(rng.permutation(list(w))) if rng.random() < strange else w for w in drawn)
+
+    rows = [(i, text(int(rng.integers(60, 600)), 0), "en") for i in range(400)] + [(i, text(300, 0.08), "en") for i in range(400, 410)]
+    # Copies of one text do not narrow the band.
+    rows += [(i, rows[0][1], "en") for i in range(410, 420)]
+    got = {r["doc_id"]: r["kept"] for r in judge_quality(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")).collect()}
+    assert sum(got[i] for i in range(400)) >= 396
+    assert not any(got[i] for i in range(400, 410))
+
+
 def brute_kneser_ney(counts, level_discounts):
     """All probabilities by definition: counts maps 5-grams (tuples) of one language."""
     levels = {5: counts}
