@@ -1,21 +1,23 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a sample of at most ``MOST_EXAMPLES`` labelled rows (the smallest hashes
-of their ids; the bound is a parameter). The terms are the words whose document counts
-in the examples differ between the labels by a chi-square of ``LEAST_CHI`` or more, at
-most ``MOST_TERMS`` of them. Inverse document frequencies are counted over all texts.
+of their ids; the bound is a parameter). The terms are all words of the examples. A term
+weighs its inverse document frequency, counted over all texts, times how far it tells the
+labels apart: the log-odds of a label where it occurs against those of all examples,
+smoothed by ``SMOOTHING`` examples of the base rate, to the power ``SHARPNESS``, and
+``LEAST_TELL`` more for any word. So a word tells more the more examples agree, at every number of labels.
 
 The inverted index has, per term, the examples that hold it and their weights, and per
-block of ``BLOCK`` examples the largest weight. A text visits blocks in the order of
+term and block of ``BLOCK`` examples the largest weight. A text visits blocks in the order of
 their upper bounds and stops when no block can hold an example nearer than the k-th
 found, so the k nearest are exact. Their votes weigh as much as their cosines:
 ``score = (sum(cosine * label) + PRIOR * base rate) / (sum(cosine) + PRIOR)``. The base
 rate is that of the sample, which is drawn regardless of the label, so scores are rates.
 The nearest examples come along as evidence.
 
-Index and terms are bounded by the parameters, and are broadcast.
+The index holds one posting per example and word of it, and is broadcast.
 
-Cases: NULL and empty texts, and texts without any term, have no neighbour and score the
+Cases: NULL and empty texts, and texts without a word of the examples, have no neighbour and score the
 base rate, below 0.3 unless most examples are toxic. Equal cosines go by the example's
 order. Several labels of one id count as toxic if one is; NULL labels teach nothing; with no labels all
 scores are 0. Every row gets a result, repeated rows too. Other columns go through;
@@ -24,6 +26,7 @@ columns named ``score`` or ``evidence`` are replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,13 +39,14 @@ from pyspark.sql import types as T
 from answergrid.llm.batches import slices, stored, texts_of, words
 
 MOST_EXAMPLES = 20_000
-MOST_TERMS = 4_096
-LEAST_CHI = 30.0
+SMOOTHING = 3.0
+SHARPNESS = 3
+LEAST_TELL = 0.01
 NEIGHBOURS = 25
 BLOCK = 128
 PRIOR = 0.5
-#: Answers a task remembers; texts with one term in common with the index are many.
-REMEMBERED = 10_000
+#: Answers a task remembers, for copies.
+REMEMBERED = 1_000
 _EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
 
 
@@ -79,48 +83,81 @@ def sparse_rows(column: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.nda
     return both // max(len(terms), 1), both % max(len(terms), 1), times
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the range each comes from."""
+    size = end - begin
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
+
+
+def _packed(numbers: np.ndarray) -> tuple[str, bytes]:
+    small = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    return small.dtype.str, zlib.compress(small.tobytes(), 1)
+
+
+def _unpacked(kind: str, data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind).astype(np.int64)
+
+
 class ExampleIndex:
-    """Terms, their inverse document frequencies, and block-max posting lists of the examples."""
+    """Terms, what each weighs, and block-max posting lists of the examples."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list, labels: np.ndarray, triples: tuple):
-        self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels
-        self.base = float(labels.mean()) if len(labels) else 0.0
+    def __init__(self, terms: np.ndarray, scale: np.ndarray, ids: list, labels: np.ndarray, triples: tuple):
         example, term, times = triples
-        weight = self.weights(term, times)
-        norm = np.sqrt(np.bincount(example, weight**2, len(ids)))
-        weight = weight / norm[example] if len(example) else weight
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
+        self._build(terms, scale, ids, labels, example[order], times[order], np.bincount(term, minlength=len(terms)))
+
+    def __getstate__(self) -> tuple:
+        """What is broadcast: the smallest integers, packed; each process computes the weights and blocks anew."""
+        return self.terms, self.scale, self.ids, self.labels, _packed(self.example), _packed(self.times), _packed(self.held)
+
+    def __setstate__(self, state: tuple) -> None:
+        self._build(*state[:4], *[_unpacked(*x) for x in state[4:]])
+
+    def _build(self, terms: np.ndarray, scale: np.ndarray, ids: list, labels: np.ndarray, example: np.ndarray, times: np.ndarray, held: np.ndarray) -> None:
+        """Times are those of the postings, in order of term and example; each term is held by so many examples."""
+        self.terms, self.scale, self.ids, self.labels = terms, scale, ids, labels
+        self.example, self.times, self.held = example.astype(np.int32), times, held
+        self.base = float(labels.mean()) if len(labels) else 0.0
+        term = np.repeat(np.arange(len(terms)), held)
+        weight = self.weights(term, times)
+        norm = np.sqrt(np.bincount(self.example, weight**2, len(ids)))
+        self.weight = weight / norm[self.example] if len(weight) else weight
         self.blocks = max(1, -(-len(ids) // BLOCK))
-        #: Where each term's postings of each block begin.
-        place = term[order] * self.blocks + self.example // BLOCK
-        ends = np.searchsorted(place, np.arange(len(terms) * self.blocks + 1))
-        self.cuts = np.column_stack((ends[:-1].reshape(-1, self.blocks), ends[self.blocks :: self.blocks]))
-        self.most = np.zeros((len(terms), self.blocks), np.float32)
-        np.maximum.at(self.most, (term, example // BLOCK), weight)
+        #: One entry per term and block that has postings: its block, where they begin, and the largest weight.
+        place = term * self.blocks + self.example // BLOCK
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        self.block = (place[first] % self.blocks).astype(np.int32)
+        self.begin = np.append(first, len(place))
+        self.entries = np.searchsorted(place[first] // self.blocks, np.arange(len(terms) + 1))
         # Above the true weight, so that rounding cannot hide a block.
-        self.most = np.nextafter(self.most, np.float32(2))
+        most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2))
 
     def weights(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return (1 + np.log(times)) * self.idf[term]
+        return (1 + np.log(times)) * self.scale[term]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0, and the cosines."""
-        bounds = weight @ self.most[term]
+        entry, of = _ranges(self.entries[term], self.entries[term + 1])
+        block, share = self.block[entry], weight[of]
+        bounds = np.bincount(block, share * self.most[entry], self.blocks)
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
-        begin, step = 0, 16
+        by_block = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
+        begin, step = 0, 4
         while begin < len(order):
             chosen = order[begin : begin + step]
-            if bounds[chosen[0]] <= 1e-6 * len(term) or (len(best) == NEIGHBOURS and bounds[chosen[0]] < cosine[-1]):
+            chosen = chosen[bounds[chosen] > 0]
+            if not len(chosen) or (len(best) == NEIGHBOURS and bounds[chosen[0]] < cosine[-1]):
                 break
             # All postings of the text's terms in the chosen blocks, one after the other.
-            low = self.cuts[term[:, None], chosen].ravel()
-            size = self.cuts[term[:, None], chosen + 1].ravel() - low
-            at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-            base = np.arange(len(chosen)) * BLOCK - chosen * BLOCK
-            slot = self.example[at] + np.repeat(np.tile(base, len(term)), size)
-            total = np.bincount(slot, self.weight[at] * np.repeat(np.repeat(weight, len(chosen)), size), len(chosen) * BLOCK)
+            mine, slot_block = _ranges(cuts[chosen], cuts[chosen + 1])
+            mine = by_block[mine]
+            at, of = _ranges(self.begin[entry[mine]], self.begin[entry[mine] + 1])
+            slot = self.example[at] + ((slot_block - chosen[slot_block]) * BLOCK)[of]
+            total = np.bincount(slot, self.weight[at] * share[mine][of], len(chosen) * BLOCK)
             hit = np.flatnonzero(total)
             ids = np.concatenate((best, chosen[hit // BLOCK] * BLOCK + hit % BLOCK))
             cosine = np.concatenate((cosine, total[hit]))
@@ -139,14 +176,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     examples = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
     examples = stored(examples.dropDuplicates(["doc_id"]), "examples")
-    toxic = examples.where("label = 1").count()
-    total = examples.count()
     counts = examples.select("text", F.col("label").cast("double").alias("label")).mapInArrow(example_words, "word long, n long, toxic long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    a, n, p, m = F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(float(toxic)), F.lit(float(total))
-    chi = m * F.pow(a * m - n * p, F.lit(2.0)) / (n * (m - n) * p * (m - p))
-    chosen = counts.where(n < m).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "word").limit(MOST_TERMS)
-    terms = np.sort(np.array([r["word"] for r in chosen.select("word").collect()], np.int64).view(np.uint64))
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    word, n, toxic = (counts.column(c).to_numpy() for c in ("word", "n", "toxic"))
+    order = np.argsort(word.view(np.uint64))
+    terms, n, toxic = word.view(np.uint64)[order], n[order], toxic[order]
     shared = spark.sparkContext.broadcast(terms)
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,31 +190,32 @@ def learn(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES
             found[:-1] += np.bincount(term, minlength=len(shared.value))
             rows += batch.num_rows
         found[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["term", "n"])
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found[seen])], ["term", "n"])
 
-    spread = docs.select("text").mapInArrow(count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    spread = docs.select("text").mapInArrow(count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     held = np.zeros(len(terms) + 1)
-    for r in spread.collect():
-        held[r["term"]] = r["n"]
+    held[spread.column("term").to_numpy()] = spread.column("n").to_numpy()
     idf = np.log((held[-1] + 1) / (held[:-1] + 1)) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             row, term, times = sparse_rows(texts_of(batch), shared.value)
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            parts = [(term[x:y].tolist(), times[x:y].tolist()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            parts = [(term[x:y].astype("<i4").tobytes(), times[x:y].astype("<i4").tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [texts_of(batch, "doc_id"), texts_of(batch, "label"), pa.array([x for x, _ in parts], pa.list_(pa.int64())), pa.array([y for _, y in parts], pa.list_(pa.int64()))],
+                [texts_of(batch, "doc_id"), texts_of(batch, "label"), pa.array([x for x, _ in parts], pa.binary()), pa.array([y for _, y in parts], pa.binary())],
                 ["doc_id", "label", "terms", "times"],
             )
 
-    schema = "doc_id long, label int, terms array<long>, times array<long>"
-    rows = examples.mapInArrow(vectors, schema).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    example = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
-    term = np.array([t for r in rows for t in r["terms"]], np.int64)
-    times = np.array([t for r in rows for t in r["times"]], np.int64)
-    return ExampleIndex(terms, idf, [r["doc_id"] for r in rows], np.array([r["label"] for r in rows], np.int64), (example, term, times))
+    rows = examples.mapInArrow(vectors, "doc_id long, label int, terms binary, times binary").toArrow().sort_by("doc_id")
+    labelled = rows.column("label").to_numpy().astype(np.int64)
+    term, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), "<i4") for c in ("terms", "times"))
+    example = np.repeat(np.arange(rows.num_rows), [len(x) // 4 for x in rows.column("terms").to_pylist()])
+    base = (labelled.sum() + 0.5) / (len(labelled) + 1)
+    rate = (toxic + SMOOTHING * base) / (n + SMOOTHING)
+    tell = np.abs(np.log(rate / (1 - rate)) - np.log(base / (1 - base))) ** SHARPNESS + LEAST_TELL
+    return ExampleIndex(terms, idf * tell, rows.column("doc_id").to_pylist(), labelled, (example, term.astype(np.int64), times))
 
 
 def score_toxicity(docs: DataFrame, index: ExampleIndex) -> DataFrame:

@@ -161,6 +161,29 @@ def test_toxicity(spark):
     assert {r["score"] for r in nothing} == {0.0}
 
 
+def test_few_labels_teach_and_all_words_count(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 4000) + (" awful slur" if i % 7 == 0 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    for labelled in (28, 300):
+        index = toxicity.learn(df, df.where(f"doc_id < {labelled}").selectExpr("doc_id", "int(doc_id % 7 = 0) AS label"))
+        assert len(index.terms) == len({w for _, t in rows[:labelled] for w in t.split()})
+        row, term, times = toxicity.sparse_rows(pa.array([t for _, t in rows]), index.terms)
+        vectors = np.zeros((len(rows), len(index.terms)))
+        vectors[row, term] = index.weights(term, times)
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        cosines = vectors @ vectors[:labelled].T
+        scored = {r["doc_id"]: r for r in toxicity.score_toxicity(df, index).collect()}
+        for i, c in enumerate(cosines):
+            best = np.lexsort((np.arange(labelled), -np.round(c, 12)))[: toxicity.NEIGHBOURS]
+            best = best[c[best] > 0]
+            wanted = (c[best] @ (best % 7 == 0) + toxicity.PRIOR * index.base) / (c[best].sum() + toxicity.PRIOR)
+            assert np.isclose(scored[i]["score"], wanted)
+            assert np.allclose([e["cosine"] for e in scored[i]["evidence"]], c[best[:3]])
+            assert i >= labelled or scored[i]["evidence"][0]["doc_id"] == i
+    assert min(scored[i]["score"] for i in range(0, 400, 7)) > max(scored[i]["score"] for i in range(400) if i % 7)
+
+
 def test_secrets_are_scanned_once(spark, docs):
     ledger = new_path(spark, "ledger")
     rows = [(1, "É Password = 'abcdef1' x"), (2, None), (3, "É Password = 'abcdef1' x"), (3, "token: secret: abcdefgh")]
