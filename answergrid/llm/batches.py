@@ -40,15 +40,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return got, offsets - offsets[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows with about SLICE_BYTES of text each."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with about ``size`` bytes of text each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
         start = 0
         while start < batch.num_rows:
-            end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1
+            end = int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
