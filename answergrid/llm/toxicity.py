@@ -19,7 +19,8 @@ The index holds one posting per example and word of it, and is broadcast.
 
 Cases: NULL and empty texts, and texts without a word of the examples, have no neighbour and score the
 base rate, below 0.3 unless most examples are toxic. Equal cosines go by the example's
-order. Several labels of one id count as toxic if one is; NULL labels teach nothing; with no labels all
+order. Several labels of one id count as toxic if one is, of several texts the first in order is the example;
+NULL labels teach nothing; with no labels all
 scores are 0. Every row gets a result, repeated rows too. Other columns go through;
 columns named ``score`` or ``evidence`` are replaced.
 """
@@ -38,7 +39,8 @@ from pyspark.sql import types as T
 
 from answergrid.llm.batches import slices, stored, texts_of, words
 
-MOST_EXAMPLES = 20_000
+#: Bound of the sample of labelled rows.
+MOST_EXAMPLES = 4_000
 SMOOTHING = 3.0
 SHARPNESS = 3
 LEAST_TELL = 0.01
@@ -175,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES
     sample = stored(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples), "example-ids")
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     examples = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
-    examples = stored(examples.dropDuplicates(["doc_id"]), "examples")
+    examples = stored(examples.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "examples")
     counts = examples.select("text", F.col("label").cast("double").alias("label")).mapInArrow(example_words, "word long, n long, toxic long")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
     word, n, toxic = (counts.column(c).to_numpy() for c in ("word", "n", "toxic"))
