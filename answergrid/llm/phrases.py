@@ -79,8 +79,8 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = np.flatnonzero(np.array([x == lang for x in langs])[row])
             # Rows of other languages between two words are another text too.
             gaps = np.flatnonzero(apart[kept] | (np.diff(kept, prepend=kept[:1]) > 1))
-            flat = np.append(np.insert(word[kept], gaps, 0), np.uint64(0)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([flat], pa.list_(pa.int64()))], ["lang", "tokens"])
+            flat = np.append(np.insert(word[kept], gaps, 0), np.uint64(0))
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([flat.tobytes()], pa.binary())], ["lang", "tokens"])
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +130,19 @@ def _known(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 def _flat(batch: pa.RecordBatch) -> np.ndarray:
-    """The token arrays of a batch, one after the other; each ends in 0."""
-    return texts_of(batch, "tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    """The tokens of a batch, one row after the other; each row ends in 0."""
+    column = texts_of(batch, "tokens").cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint64)
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data, np.uint64, (at[-1] - at[0]) // 8, at[0])
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 16):
-            yield batch.slice(at, 16)
+        for at in range(0, batch.num_rows, 8):
+            yield batch.slice(at, 8)
 
 
 class _Counts:
@@ -321,7 +326,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, most: int = MOST, ba
     least, ``n`` the words of the language.
     """
     texts = docs.select("text", "lang")
-    table = stored(texts.mapInArrow(tokens, "lang string, tokens array<long>"), "word-hashes")
+    table = stored(texts.mapInArrow(tokens, "lang string, tokens binary"), "word-hashes")
     counts = table.mapInArrow(count_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "word-counts")
     totals = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
