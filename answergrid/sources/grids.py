@@ -9,7 +9,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from answergrid.operators.export import as_text, capped
 from answergrid.operators.ingest import (
@@ -20,7 +19,7 @@ from answergrid.operators.ingest import (
     import_grid,
     pack_rows,
 )
-from answergrid.sources.shared import new_path
+from answergrid.sources.records import Records, lines_of, width_of
 
 # Fixed value: rows of one written batch, for those who ask for batches.
 BATCH_ROWS = 10_000
@@ -65,59 +64,32 @@ def parse_range(text: str) -> CellRange:
     )
 
 
-def _width_of(lines: DataFrame, sep: str) -> int:
-    """The most cells a line can have: one more than its separators."""
-    separators = F.octet_length("value") - F.octet_length(F.replace("value", F.lit(sep), F.lit("")))
-    return (lines.agg(F.max(separators)).first()[0] or 0) + 1
-
-
-def _file() -> Column:
-    return F.col("_metadata.file_path")
-
-
 @dataclass(frozen=True)
 class _Files:
-    """Files of rows: which there are, and their rows as they are read."""
+    """Files of records: which there are, and their records as they are read."""
 
     spark: SparkSession
     path: str | list[str]
     sep: str
-    multi_line: bool
-    names: tuple[str, ...] = ()
 
     def listed(self) -> DataFrame:
         """The names of the files, from their listing: no content is read."""
         files = self.spark.read.format("binaryFile").load(self.path)
-        return files.select(_file().alias("file"))
+        return files.select(F.col("_metadata.file_path").alias("file"))
 
-    def lines(self, *tests: Column) -> DataFrame:
-        """The files' lines; ``tests`` of ``_metadata.file_path`` leave out whole files."""
-        lines = self.spark.read.text(self.path)
-        return reduce(DataFrame.where, tests, lines)
+    def records(self, *tests: Column) -> Records:
+        """``tests`` of ``file`` leave out whole files."""
+        return Records(reduce(DataFrame.where, tests, lines_of(self.spark, self.path)), self.sep)
 
-    def rows(self, *tests: Column) -> DataFrame:
-        """``file, block, line`` and the row, a text or (with line breaks) a struct.
-
-        ``line`` depends on how Spark shares the files out among tasks, which may
-        differ the next time they are read.
-        """
-        if self.multi_line:
-            schema = ", ".join(f"{n} STRING" for n in self.names)
-            rows = self.spark.read.csv(
-                self.path, schema=schema, multiLine=True, **_csv(self.sep, len(self.names))
-            )
-            rows, row = reduce(DataFrame.where, tests, rows), F.struct(*self.names)
-        else:
-            rows, row = self.lines(*tests), F.col("value")
-        return rows.select(
-            _file().alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            row.alias("row"),
-        )
+    def rows(self, numbered: bool, *tests: Column) -> DataFrame:
+        """``file, number, value``; where numbers are not asked for and no line has a quote, lines are records."""
+        records = self.records(*tests)
+        if numbered or not records.lines.where(F.contains("value", F.lit('"'))).isEmpty():
+            return records.rows
+        return records.lines.select("file", F.lit(None).cast("long").alias("number"), F.regexp_replace("value", r"\r\z", "").alias("value"))
 
     def holding(self, n: int) -> tuple[str, int] | None:
-        """The file that holds the n-th row, and which of its rows that is.
+        """The file that holds the n-th record, and which of its records that is.
 
         Files are counted in their order, some at a time, up to that file only.
         """
@@ -127,8 +99,7 @@ class _Files:
             batch = [r["file"] for r in left.orderBy("file").limit(step).collect()]
             if not batch:
                 return None
-            rows = self.rows(_file().between(batch[0], batch[-1]))
-            counts = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}
+            counts = self.records(F.col("file").between(batch[0], batch[-1])).counts()
             for file in batch:
                 if n <= counts.get(file, 0):
                     return file, n
@@ -140,61 +111,31 @@ def _csv(sep: str, width: int) -> dict[str, str]:
     return {"sep": sep, **_QUOTED, "maxColumns": str(max(width + 1, 20480))}
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder: their numbers no longer change."""
-    path = new_path(rows.sparkSession, "grid-rows")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def _place_of(rows: DataFrame, file: str, n: int) -> Column:
-    """Where the n-th row of a file is among kept rows.
-
-    One number per block of this one file reaches the driver.
-    """
-    blocks = rows.where(F.col("file") == file).groupBy("block")
-    found = blocks.agg(F.min("line").alias("first"), F.count("*").alias("n")).orderBy("block")
-    for block in found.collect():
-        if n <= block["n"]:
-            return F.struct(
-                F.lit(file).alias("file"),
-                F.lit(block["block"]).alias("block"),
-                F.lit(block["first"] + n - 1).alias("line"),
-            )
-        n -= block["n"]
-    raise ValueError(f"{file} has changed while it was read")
-
-
 def _rows_in(files: _Files, area: CellRange, numbered: bool, *tests: Column) -> DataFrame:
-    """The rows of a range; only files that hold a border are cut row by row."""
+    """The records of a range; files beyond its borders are not read."""
     first = files.holding(area.first_row + 1) if area.first_row else None
     last = files.holding(area.end_row) if area.end_row else None
     if area.first_row and first is None:
         tests = (*tests, F.lit(False))
     if first:
-        tests = (*tests, _file() >= first[0])
+        tests = (*tests, F.col("file") >= first[0])
     if last:
-        tests = (*tests, _file() <= last[0])
-    borders = sorted({border[0] for border in (first, last) if border})
-    whole = files.rows(*tests, *([~_file().isin(borders)] if borders else []))
-    whole = _kept(whole) if numbered else whole
-    if not borders:
-        return whole
-    cut = rows = _kept(files.rows(*tests, _file().isin(borders)))
-    row_no = F.struct("file", "block", "line")
+        tests = (*tests, F.col("file") <= last[0])
+    rows = files.rows(numbered or bool(first or last), *tests)
+    place = lambda border: F.struct(F.lit(border[0]).alias("file"), F.lit(border[1] - 1).cast("long").alias("number"))
     if first:
-        cut = cut.where(row_no >= _place_of(rows, *first))
+        rows = rows.where(F.struct("file", "number") >= place(first))
     if last:
-        cut = cut.where(row_no <= _place_of(rows, *last))
-    return whole.unionByName(cut)
+        rows = rows.where(F.struct("file", "number") <= place(last))
+    return rows
 
 
-def _unbroken(sep: str) -> Column:
-    """True, or an error for a line that ends within quotes."""
-    quotes = F.length("row") - F.length(F.replace("row", F.lit('"'), F.lit("")))
-    opens = F.col("row").rlike(f'(^|{re.escape(sep)})"')
-    error = F.raise_error(F.concat(F.lit("line breaks in cells need multi_line, in "), "file"))
-    return F.when(opens & (quotes % 2 == 1), error.cast("boolean")).otherwise(F.lit(True))
+def _cells(rows: DataFrame, width: int, sep: str) -> DataFrame:
+    """The records in ``value`` as structs of ``width`` texts in ``row``."""
+    schema = ", ".join(f"c{i} STRING" for i in range(width))
+    parsed = F.from_csv("value", schema, {**_csv(sep, width), "multiLine": "true"})
+    # A generator of one row, so that no filter on cells parses a record again.
+    return rows.select("file", "number", F.explode_outer(F.array(parsed)).alias("row"))
 
 
 def _read(
@@ -203,31 +144,17 @@ def _read(
     cell_range: str | None,
     width: int | None,
     sep: str,
-    multi_line: bool,
     numbered: bool,
     *tests: Column,
 ) -> DataFrame:
     area = parse_range(cell_range) if cell_range else CellRange()
-    files = _Files(spark, path, sep, multi_line)
-    if multi_line:
-        if width is None and area.end_column is None:
-            raise ValueError("a grid with line breaks in cells needs width or cell_range")
-        width = min(w for w in (area.end_column, width) if w)
-        files = replace(files, names=tuple(f"c{i}" for i in range(width)))
-        rows = _rows_in(files, area, numbered, *tests)
-    else:
-        rows = _rows_in(files, area, numbered, *tests)
-        if width is None:
-            width = _width_of(rows.select(F.col("row").alias("value")), sep)
-        width = min(w for w in (area.end_column, width) if w)
-        schema = ", ".join(f"c{i} STRING" for i in range(width))
-        parsed = F.from_csv("row", schema, _csv(sep, width))
-        # A generator of one row, so that no filter on cells parses a line again.
-        once = F.explode_outer(F.array(parsed)).alias("row")
-        rows = rows.where(_unbroken(sep)).select("file", "block", "line", once)
+    rows = _rows_in(_Files(spark, path, sep), area, numbered, *tests)
+    if width is None and area.end_column is None:
+        width = width_of(rows, sep)
+    width = min(w for w in (area.end_column, width) if w)
     cells = [F.col("row")[f"c{i}"] for i in range(area.first_column, width)]
-    return rows.select(
-        F.struct("file", "block", "line").alias("row_no"),
+    return _cells(rows, width, sep).select(
+        F.struct("file", "number").alias("row_no"),
         (F.array(*cells) if cells else F.array().cast("array<string>")).alias("cells"),
     )
 
@@ -239,26 +166,20 @@ def read_grid(
     cell_range: str | None = None,
     width: int | None = None,
     sep: str = ",",
-    multi_line: bool = False,
 ) -> DataFrame:
     """``(row_no, cells)`` of grid files.
 
-    ``row_no`` orders the rows: by file, by place in the file.  Spark numbers rows
-    by the tasks that read them, so the rows are written once to the shared folder
-    and the result reads them there: all that is done with it sees one order.
-    Two calls may number the same rows differently.  ``import_files`` writes only
-    the file that holds the header.
+    ``row_no`` is the file and the number of the record in it, from 0: it depends on the
+    files alone, not on how Spark shares them out.  Large files are split among tasks, also
+    where cells hold line breaks (see ``records``): every split is read once to find where
+    records begin, and once for the rows.
 
     Rows may be ragged: missing cells are NULL, cells beyond the width are left
     out.  The width is the lesser of the range's and ``width``, which one more
-    pass over the rows finds where it is not given.  A range with rows reads files
+    pass over the rows finds where neither is given.  A range with rows reads files
     in order, up to the one where it ends.
-
-    Lines are split across tasks.  Cells with line breaks need ``multi_line``,
-    with a known width; then one task reads each file.  Without it, a line that
-    opens a quoted cell and has an odd number of quotes is an error.
     """
-    return _read(spark, path, cell_range, width, sep, multi_line, True)
+    return _read(spark, path, cell_range, width, sep, True)
 
 
 def import_files(
@@ -270,34 +191,34 @@ def import_files(
     cell_range: str | None = None,
     width: int | None = None,
     sep: str = ",",
-    multi_line: bool = False,
     **packing,
 ) -> tuple[DataFrame, Header]:
     """Find the header of grid files and pack the rows below it.
 
     The header is nearly always in the first file, so that file is searched
     first; otherwise one pass finds the file that has it.  Only this file's rows
-    are numbered.  All later files are read once, and only as far as the last
-    column that holds a wanted field.  A range with rows is read by ``read_grid``.
+    are numbered.  All later files are read once more, twice where cells are quoted,
+    and only as far as the last column that holds a wanted field.  A range with rows
+    is read by ``read_grid``.
 
     ``packing`` are the options of ``pack_rows``; what ``write_grid`` wrote has
     ``repeated_headers``.
     """
     area = parse_range(cell_range) if cell_range else CellRange()
-    how = (cell_range, width, sep, multi_line)
+    how = (cell_range, width, sep)
     if area.first_row or area.end_row:
         return import_grid(_read(spark, path, *how, True), id_field, fields, **packing)
-    file = _Files(spark, path, sep, multi_line).listed().agg(F.min("file")).first()[0]
-    head = _read(spark, path, *how, True, _file() == file)
+    file = _Files(spark, path, sep).listed().agg(F.min("file")).first()[0]
+    head = _read(spark, path, *how, True, F.col("file") == file)
     try:
         header = find_header(head, id_field, fields)
     except HeaderNotFound:
-        later = _read(spark, path, *how, False, _file() > file)
+        later = _read(spark, path, *how, False, F.col("file") > file)
         file = later.where(holds(id_field)).agg(F.min("row_no.file")).first()[0]
-        head = _read(spark, path, *how, True, _file() == file)
+        head = _read(spark, path, *how, True, F.col("file") == file)
         header = find_header(head, id_field, fields)
     used = area.first_column + max(header.columns.values()) + 1
-    rest = _read(spark, path, cell_range, used, sep, multi_line, False, _file() > file)
+    rest = _read(spark, path, cell_range, used, sep, False, F.col("file") > file)
     packed = pack_rows(head, header, id_field, fields, **packing).unionByName(
         pack_rows(rest, replace(header, row_no=None), id_field, fields, **packing)
     )
@@ -337,7 +258,8 @@ def write_grid(
 
 
 def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """What ``write_grid`` wrote with headers, as text columns."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    table = spark.read.csv(path, schema=schema, header=True, multiLine=True, **_QUOTED)
-    return table.fillna("")
+    """What ``write_grid`` wrote with headers, as text columns; every file's first record is its header."""
+    rows = _Files(spark, path, ",").rows(True).where(F.col("number") > 0)
+    table = _cells(rows, len(columns), ",")
+    texts = [F.coalesce(F.col("row")[f"c{i}"], F.lit("")) for i in range(len(columns))]
+    return table.select(*[t.alias(c) for t, c in zip(texts, columns, strict=True)])
