@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 # The length of a cut name without its position, and the prefix of generated names.
 POSITION_ROOM = 3
@@ -31,6 +31,18 @@ def apart(name: str, index: int, taken: set[str]) -> str:
     return name
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names for helper columns, longer where a column has one; upper and lower case are one."""
+    known = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def field_names(
     titles: Sequence[str], taken: Sequence[str] = (), max_length: int | None = None
 ) -> list[str]:

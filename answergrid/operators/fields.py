@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answergrid.functions import documents, matching
-from answergrid.functions.names import field_names
+from answergrid.functions.names import field_names, free_names
 from answergrid.functions.strategies import (
     Strategy,
     applicable,
@@ -82,27 +82,27 @@ def fields_as_columns(
     all_titles = [title for column in wanted.values() for title in column]
     if not all_titles:
         return df
-    names = iter(field_names(all_titles, df.columns))
+    made = field_names(all_titles, df.columns)
+    ready, *docs = free_names([*df.columns, *made], "prepared", *(f"document_{i}" for i in range(len(wanted))))
 
-    parsed, prepared, results = {}, {}, {}
+    names, parsed, prepared, results = iter(made), {}, {}, {}
     for i, (column, column_titles) in enumerate(wanted.items()):
         doc = f"document_{i}"
-        parsed[f"__{doc}"] = documents.document_of(df, column)
+        parsed[docs[i]] = documents.document_of(df, column)
         cut = [matching.make_pattern(t, pattern_length) for t in column_titles]
         for j, strategy in enumerate(chosen):
             own = [t for t in cut if strategy.applies(t)]
-            whole = F.col(f"__{doc}")
+            whole = F.col(docs[i])
             prepared[f"{doc}_{j}"] = strategy.prepare(whole, own) if strategy.prepare else whole
         for title in cut:
             found = [
-                s.extract(F.col("__prepared")[f"{doc}_{chosen.index(s)}"], title)
+                s.extract(F.col(ready)[f"{doc}_{chosen.index(s)}"], title)
                 for s in applicable(chosen, title)
             ]
             results[next(names)] = F.coalesce(*found, F.lit(default))
 
     once = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in prepared.items()])))
-    ready = df.withColumns(parsed).select("*", once.alias("__prepared"))
-    return ready.withColumns(results).drop("__prepared", *parsed)
+    return df.withColumns(parsed).select("*", once.alias(ready)).withColumns(results).drop(ready, *parsed)
 
 
 def _sql_search(items: str, match_keys: Sequence[str], value_keys: Sequence[str]) -> str:
@@ -111,18 +111,8 @@ def _sql_search(items: str, match_keys: Sequence[str], value_keys: Sequence[str]
     return f"get(transform(filter({items}, e -> {tests}), e -> coalesce({values}, '')), 0)"
 
 
-def register_sql_functions(spark: SparkSession, pattern_length: int | None = None) -> None:
-    """Make two functions available in SQL for this session.
-
-    ``json_fields(json, titles)`` gives the texts of an array of titles, with one
-    parse of the document; ``json_field(json, title)`` gives one.  Both follow
-    ``fields_as_columns``.  The optimizer inlines them, so they take part in
-    filters, sorts and limits like any expression; every call in the text parses
-    by itself, and so does a filter on its result.  To filter with one parse, put
-    ``array(json_fields(..)) AS once`` in a subquery and read it through
-    ``LATERAL VIEW OUTER explode(once)``.
-    """
-    documents.configure(spark)
+def _sql_fields(titles: str, pattern_length: int | None) -> str:
+    """SQL of the texts that ``titles`` have in the document ``json``."""
     list_keys = [*matching.LIST_MATCH_KEYS, *matching.LIST_VALUE_KEYS]
     root_keys = [*matching.ARRAY_MATCH_KEYS, *matching.ARRAY_VALUE_KEYS]
     root_type = documents.record_type(root_keys)
@@ -130,11 +120,8 @@ def register_sql_functions(spark: SparkSession, pattern_length: int | None = Non
     in_root = _sql_search("found.in_root", matching.ARRAY_MATCH_KEYS, matching.ARRAY_VALUE_KEYS)
     start = "title" if pattern_length is None else f"left(title, {pattern_length})"
     # Arrays of one element give a name to what must be worked out only once.
-    spark.sql(
-        f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION json_fields(json STRING, titles ARRAY<STRING>)
-        RETURNS ARRAY<STRING>
-        RETURN get(transform(
+    return f"""
+        get(transform(
             transform(array(try_parse_json(json)), doc -> named_struct(
                 'in_list', try_variant_get(doc, '$.list', 'array<{documents.record_type(list_keys)}>'),
                 'in_root', coalesce(
@@ -143,11 +130,30 @@ def register_sql_functions(spark: SparkSession, pattern_length: int | None = Non
                 )
             )),
             found -> transform(
-                transform(titles, title ->
+                transform({titles}, title ->
                     lower(concat('%', replace({start}, chr(92), repeat(chr(92), 2)), '%'))),
                 pattern -> coalesce({in_list}, {in_root}, '')
             )
-        ), 0)
+        ), 0)"""
+
+
+def register_sql_functions(spark: SparkSession, pattern_length: int | None = None) -> None:
+    """Make two functions available in SQL for this session.
+
+    ``json_fields(json, titles)`` gives the texts of an array of titles, with one
+    parse of the document; ``json_field(json, title)`` gives one.  Both follow
+    ``fields_as_columns``.  The optimizer inlines them, so they take part in
+    filters, sorts and limits like any expression; every call in the text parses
+    by itself, and so does a filter on its result.  To filter with one parse, put
+    ``array(json_fields(..)) AS once`` in a subquery and read it through
+    ``LATERAL VIEW OUTER explode(once)``.
+    """
+    documents.configure(spark)
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION json_fields(json STRING, titles ARRAY<STRING>)
+        RETURNS ARRAY<STRING>
+        RETURN {_sql_fields("titles", pattern_length)}
         """
     )
     spark.sql(
@@ -157,3 +163,29 @@ def register_sql_functions(spark: SparkSession, pattern_length: int | None = Non
         RETURN get(json_fields(json, array(title)), 0)
         """
     )
+
+
+def register_field_table(
+    spark: SparkSession, name: str, titles: Sequence[str], pattern_length: int | None = None
+) -> list[str]:
+    """Make a SQL table function whose columns are the titles; returns their names.
+
+    ``FROM t, LATERAL name(t.json) AS f`` joins one row of texts to every row of ``t``:
+    ``f.status`` can stand in select lists, filters and sorts, any number of times, with one
+    parse of the document.  The names are those of ``field_names``.
+    """
+    documents.configure(spark)
+    names = field_names(titles)
+    text = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    columns = ", ".join(f"`{n}` STRING" for n in names)
+    found = ", ".join(f"found[{i}]" for i in range(len(names)))
+    # An array of one element, exploded: what lies above does not repeat what it holds.
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION `{name}`(json STRING)
+        RETURNS TABLE ({columns})
+        RETURN SELECT {found}
+        FROM explode(array({_sql_fields(f"array({', '.join(map(text, titles))})", pattern_length)})) AS t(found)
+        """
+    )
+    return names

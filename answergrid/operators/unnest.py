@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answergrid.functions import documents
-from answergrid.functions.names import apart, field_names
+from answergrid.functions.names import apart, field_names, free_names
 
-ITEMS = "__items"
-MOST_COLUMNS = 10_000
 
 
 def _others(df: DataFrame, col: str, made: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -34,32 +32,35 @@ def unnest_rows(
     doc = documents.document_of(df, col)
     made = ["value"] if keys is None else list(keys)
     others, (pos, *names) = _others(df, col, ["pos", *made])
+    (one,) = free_names([*others, pos], "item")
     if keys is None:
         items = F.try_variant_get(doc, path, "array<variant>")
-        cells = [F.col("__item").cast("string").alias(names[0])]
+        cells = [F.col(one).cast("string").alias(names[0])]
     else:
         items = documents.records(doc, path, made)
-        cells = [F.col("__item")[k].alias(n) for k, n in zip(made, names, strict=True)]
-    return df.select(*others, F.posexplode(items).alias(pos, "__item")).select(*others, pos, *cells)
+        cells = [F.col(one)[k].alias(n) for k, n in zip(made, names, strict=True)]
+    return df.select(*others, F.posexplode(items).alias(pos, one)).select(*others, pos, *cells)
 
 
 def unnest_entries(df: DataFrame, col: str, path: str = documents.ROOT) -> DataFrame:
     """One row per entry of the object at ``path``: ``key`` and text ``value``."""
     entries = documents.object_map(documents.document_of(df, col), path)
     others, (key, value) = _others(df, col, ["key", "value"])
-    return df.select(*others, F.explode(entries).alias(key, "__item")).select(
-        *others, key, F.col("__item").cast("string").alias(value)
+    (one,) = free_names([*others, key], "item")
+    return df.select(*others, F.explode(entries).alias(key, one)).select(
+        *others, key, F.col(one).cast("string").alias(value)
     )
 
 
-def _with_items(df: DataFrame, col: str, keys: Sequence[str], path: str | None) -> DataFrame:
-    doc = "__document"
+def _with_items(df: DataFrame, col: str, keys: Sequence[str], path: str | None) -> tuple[DataFrame, str]:
+    """The table with the documents' items in one more column, and its name."""
+    doc, items = free_names(df.columns, "document", "items")
     parsed = df.withColumn(doc, documents.document_of(df, col))
-    return parsed.withColumn(ITEMS, documents.item_records(F.col(doc), keys, path)).drop(doc)
+    return parsed.withColumn(items, documents.item_records(F.col(doc), keys, path)).drop(doc), items
 
 
-def _widths_allowed(n: int, what: str, most: int) -> None:
-    if n > most:
+def _widths_allowed(n: int, what: str, most: int | None) -> None:
+    if most is not None and n > most:
         raise ValueError(f"{n} or more {what} would make too many columns; name what you need")
 
 
@@ -72,39 +73,39 @@ def unnest_positional(
     *,
     path: str | None = None,
     prefix: str | None = None,
-    most_columns: int = MOST_COLUMNS,
+    most_columns: int | None = None,
 ) -> DataFrame:
     """Columns ``<col>_<name_key>_1, <col>_<value_key>_1, …_2, …`` per item.
 
     Items are the array at ``path``, else ``$.list``, the root array, or the
     root object alone.  Missing items are NULL.  Without ``max_items`` one more
-    pass over the column finds the longest list: a single number.  A list that
-    would need more than ``most_columns`` columns is then an error.  A new column
+    pass over the column finds the longest list: a single number.  With
+    ``most_columns``, a list that would need more of them is then an error.  A new column
     whose name is taken gets its place.
     """
     prefix = prefix or col
     keys = [name_key, value_key]
-    wide = _with_items(df, col, keys, path)
+    wide, items = _with_items(df, col, keys, path)
     if max_items is None:
-        max_items = wide.agg(F.max(F.size(ITEMS))).first()[0] or 0
+        max_items = wide.agg(F.max(F.size(items))).first()[0] or 0
         _widths_allowed(2 * max_items, "cells per document", most_columns)
     columns: dict[str, Column] = {}
     taken = {c.lower() for c in df.columns}
     for i in range(max(max_items, 0)):
-        record = F.get(F.col(ITEMS), F.lit(i))
+        record = F.get(F.col(items), F.lit(i))
         for key in keys:
             columns[apart(f"{prefix}_{key}_{i + 1}", i, taken)] = record[key]
-    return wide.withColumns(columns).drop(ITEMS) if columns else wide.drop(ITEMS)
+    return wide.withColumns(columns).drop(items) if columns else wide.drop(items)
 
 
 def distinct_names(
     df: DataFrame, col: str, name_key: str, *, path: str | None = None
 ) -> DataFrame:
     """Every item name that occurs in the column, once."""
-    names = documents.pluck(F.col(ITEMS), name_key, [name_key])
+    wide, items = _with_items(df.select(col), col, [name_key], path)
+    names = documents.pluck(F.col(items), name_key, [name_key])
     return (
-        _with_items(df.select(col), col, [name_key], path)
-        .select(F.explode(names).alias("name"))
+        wide.select(F.explode(names).alias("name"))
         .where("name IS NOT NULL")
         .distinct()
     )
@@ -118,30 +119,33 @@ def unnest_pivot(
     names: Sequence[str] | None = None,
     *,
     path: str | None = None,
-    most_columns: int = MOST_COLUMNS,
+    most_columns: int | None = None,
 ) -> DataFrame:
     """One column per item name, holding the value of the first such item.
 
     Names are compared whole.  The columns are filled row by row, without a
     shuffle.  Without ``names`` one more pass finds the distinct names; only
-    those reach the driver, and more than ``most_columns`` is an error; ``distinct_names``
+    those reach the driver; with ``most_columns``, more is an error.  ``distinct_names``
     has them as rows.  A column of ``df`` is never replaced.
     """
     if names is None:
         found = distinct_names(df, col, name_key, path=path)
-        rows = found.orderBy("name").limit(most_columns + 1).collect()
+        found = found if most_columns is None else found.limit(most_columns + 1)
+        rows = found.orderBy("name").collect()
         names = [r["name"] for r in rows]
         _widths_allowed(len(names), "distinct names", most_columns)
     keys = [name_key, value_key]
-    wide = _with_items(df, col, keys, path)
+    wide, items = _with_items(df, col, keys, path)
+    made = field_names(names, df.columns)
+    all_names, all_values = free_names([*wide.columns, *made], "names", "values")
     lists = wide.withColumns(
         {
-            "__names": documents.pluck(F.col(ITEMS), name_key, keys),
-            "__values": documents.pluck(F.col(ITEMS), value_key, keys),
+            all_names: documents.pluck(F.col(items), name_key, keys),
+            all_values: documents.pluck(F.col(items), value_key, keys),
         }
     )
     columns = {}
-    for name, column in zip(names, field_names(names, df.columns)):
-        place = (F.array_position("__names", F.lit(name)) - 1).cast("int")
-        columns[column] = F.get(F.col("__values"), place)
-    return lists.withColumns(columns).drop(ITEMS, "__names", "__values")
+    for name, column in zip(names, made, strict=True):
+        place = (F.array_position(all_names, F.lit(name)) - 1).cast("int")
+        columns[column] = F.get(F.col(all_values), place)
+    return lists.withColumns(columns).drop(items, all_names, all_values)

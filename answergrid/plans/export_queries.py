@@ -85,8 +85,8 @@ def export_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_export(spark, path, header_of(lines))
 
 
-@query("SELECT doc_id::VARCHAR AS doc_id, text FROM documents")
-def export_then_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text FROM documents")
+def export_texts_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with line breaks and quotes come back as they were."""
     documents_table = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_path(spark, "texts")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answergrid.functions import documents, matching, strategies
-from answergrid.operators import fields_as_columns, register_sql_functions
+from answergrid.operators import fields_as_columns, many_fields, register_field_table, register_sql_functions
 from answergrid.plans import inputs
 from answergrid.plans.inputs import array_of, item, list_of, object_of, text_of
 from answergrid.plans.registry import documents_of, query, table
@@ -62,6 +62,25 @@ def fields_as_columns_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields_as_columns(df, "answers", inputs.lineitem_titles(spark, sf_dir)).drop("answers")
 
 
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS line_partkey_0,
+           CAST(l_extendedprice AS VARCHAR) AS line_extendedprice_1, l_returnflag AS line_returnflag_2,
+           '' AS line_tax_99, 33 AS n_found
+    FROM lineitem
+    """
+)
+def many_titles_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hundred titles from documents of 33 records, all at once."""
+    df = inputs.lineitem_answers(spark, sf_dir, repeats=3)
+    titles = inputs.lineitem_titles(spark, sf_dir, repeats=3)
+    titles += [f"line tax {i}" for i in range(3, 270)]
+    wide = many_fields(df, "answers", titles).drop("answers")
+    found = [F.when(F.col(c) != "", 1).otherwise(0) for c in wide.columns[2:]]
+    shown = ["line_partkey_0", "line_extendedprice_1", "line_returnflag_2", "line_tax_99"]
+    return wide.select("l_orderkey", "l_linenumber", *shown, F.aggregate(F.array(*found), F.lit(0), lambda a, x: a + x).alias("n_found"))
+
+
 @query(
     """
     SELECT o_orderkey, o_orderpriority AS value_a, o_orderstatus AS value_b,
@@ -475,6 +494,27 @@ def sql_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT o_orderkey, o_orderpriority AS priority, o_orderstatus AS status,
+           CAST(o_custkey AS VARCHAR) AS customer, '' AS nothing
+    FROM orders WHERE o_orderpriority LIKE '%URGENT' OR o_orderstatus = 'F'
+    """
+)
+def sql_field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titled columns of a SQL table function: filters and select lists share one parse."""
+    register_field_table(spark, "order_fields", ["Priority", "STATUS", "Customer", "nothing"])
+    answers = inputs.order_answers(spark, sf_dir)
+    return spark.sql(
+        """
+        SELECT o_orderkey, f.priority, f.status, f.customer, f.nothing
+        FROM {answers} AS a, LATERAL order_fields(a.answers) AS f
+        WHERE f.priority LIKE '%URGENT' OR f.status = 'F'
+        """,
+        answers=answers,
+    )
+
+
 @query(
     """
     SELECT o_orderkey, o_orderpriority AS priority, o_orderstatus AS status,

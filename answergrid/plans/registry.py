@@ -28,6 +28,8 @@ def query(sql: str | None) -> Callable[[QueryFunction], QueryFunction]:
 
     def register(function: QueryFunction) -> QueryFunction:
         name = function.__name__
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)

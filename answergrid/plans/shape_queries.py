@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from answergrid.operators import (
     candidate_titles,
     json_schema,
+    profile_all_paths,
     profile_json,
     unnest_entries,
     unnest_pivot,
@@ -154,6 +155,41 @@ def profile_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_json(documents_of(spark, sf_dir, "events"), "props")
 
 
+_DEEP_SQL = """
+    SELECT path, kind, count(*) AS n_rows, min(t) AS least, max(t) AS greatest, min(x) AS least_number, max(x) AS greatest_number
+    FROM (
+        SELECT '$' AS path, 'object' AS kind, NULL::VARCHAR AS t, NULL::DOUBLE AS x FROM lineitem
+        UNION ALL SELECT '$.a', 'object', NULL, NULL FROM lineitem
+        UNION ALL SELECT '$.a.b', 'array', NULL, NULL FROM lineitem
+        UNION ALL SELECT '$.a.b[*]', CASE WHEN l_linenumber = 1 THEN 'number' ELSE 'object' END, NULL,
+                         CASE WHEN l_linenumber = 1 THEN l_orderkey END FROM lineitem
+        UNION ALL SELECT '$.a.b[*].c', 'array', NULL, NULL FROM lineitem WHERE l_linenumber <> 1
+        UNION ALL SELECT '$.a.b[*].c[*]', 'object', NULL, NULL FROM lineitem WHERE l_linenumber <> 1
+        UNION ALL SELECT '$.a.b[*].c[*].flag', 'string', l_returnflag, NULL FROM lineitem WHERE l_linenumber <> 1
+        UNION ALL SELECT '$.a.b[*].c[*].open', 'boolean', CASE WHEN l_linestatus = 'O' THEN 'true' ELSE 'false' END, NULL
+                  FROM lineitem WHERE l_linenumber <> 1
+        UNION ALL SELECT '$.a.b[*].c[*].size', 'object', NULL, NULL FROM lineitem WHERE l_linenumber <> 1
+        UNION ALL SELECT '$.a.b[*].c[*].size.quantity', 'number', NULL, l_quantity FROM lineitem WHERE l_linenumber <> 1
+        UNION ALL SELECT '$.a.b[*].c[*].size.none', 'null', NULL, NULL FROM lineitem WHERE l_linenumber <> 1
+    )
+    GROUP BY path, kind
+"""
+
+
+@query(_DEEP_SQL)
+def profile_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of documents nested six levels deep, with its kinds, counts and extremes."""
+    size = object_of(quantity=F.col("l_quantity").cast("string"), none=F.lit("null"))
+    inner = object_of(
+        flag=inputs.text_of(F.col("l_returnflag")),
+        open=F.when(F.col("l_linestatus") == "O", "true").otherwise("false"),
+        size=size,
+    )
+    item_ = F.when(F.col("l_linenumber") == 1, F.col("l_orderkey").cast("string")).otherwise(object_of(c=array_of(inner)))
+    df = documents_of(spark, sf_dir, "lineitem").select(object_of(a=object_of(b=array_of(item_))).alias("doc"))
+    return profile_all_paths(df, "doc")
+
+
 @query(
     """
     WITH d AS (SELECT doc_id, text, lang, n_chars, doc_id % 3 AS shape FROM documents)
