@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from answergrid.llm.batches import slices, stored, texts_of, words
 
 #: Bound of the sample of labelled rows.
-MOST_EXAMPLES = 4_000
+MOST_EXAMPLES = 3_000
 SMOOTHING = 3.0
 SHARPNESS = 3
 LEAST_TELL = 0.01
