@@ -8,6 +8,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from answergrid.llm import language_id, line_dedup, near_dedup, toxicity, warc_zip
 from answergrid.llm.batches import words
@@ -51,7 +52,7 @@ def test_words_are_those_of_the_pattern():
 def test_lines(spark, docs):
     rows = [(i, f" Shared\t\n\nown {i}\nshared", 5) for i in range(10)] + [(10, None, 5), (10, "", 5)]
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING, n_lines INT")
-    for bound in (1 << 20, -1):
+    for bound in (1 << 20, 1):
         got = sorted(tuple(r) for r in drop_common_lines(df, 10, bound).select("doc_id", "text", "n_lines", "n_dropped").collect())
         assert got == sorted([(i, f"\nown {i}", 4, 2) for i in range(10)] + [(10, "", 1, 0)] * 2)
     assert drop_common_lines(df.limit(0)).count() == 0
@@ -60,7 +61,34 @@ def test_lines(spark, docs):
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     levels = line_dedup.perfect_hash(keys)
-    assert sorted(line_dedup.slots(levels, keys)) == list(range(len(keys)))
+    assert sorted(line_dedup.slots(line_dedup.packed_levels(levels), keys)) == list(range(len(keys)))
+
+
+def test_lines_in_several_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, "\n".join(f"line {x}" for x in rng.zipf(1.2, 60) % 300)) for i in range(60)] + [(7, None), (8, "")]
+    holders = {}
+    for n, (_, t) in enumerate(rows):
+        for line in set((t or "").split("\n")) - {""}:
+            holders.setdefault(line, set()).add(n)
+    wanted = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(holders.get(x, ())) < 5]
+        wanted.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 12)
+    for most in (1 << 20, 400):
+        got = drop_common_lines(df, 5, most).select("doc_id", "text", "n_lines", "n_dropped").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+
+
+def test_columns_of_any_name_go_through(spark, docs):
+    names = ["row", "gone", "odds", "rounds", "own_source", "l", "below", "middle", "above", "more", "key", "kept_id", "kept_key", "_row", "n"]
+    df = docs.withColumns({name: F.lit(7) for name in names})
+    item = spark.createDataFrame([(1, LONG), (2, "z y")], "item_id LONG, text STRING")
+    for out in (drop_common_lines(df, 2, 1), mix_sources(df), find_benchmark(df, item, block_chars=100), judge_quality(df), drop_near_duplicates(df)):
+        assert {tuple(r) for r in out.select(*names).collect()} == {(7,) * len(names)}
 
 
 def test_languages(spark, docs):
