@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answergrid.functions.names import free_names
 from answergrid.llm.batches import slices, stored, texts_of, words
 
 WINDOW = 10
@@ -194,18 +195,19 @@ def find_benchmark(
         schema = _with(plain, added)
         found = plain.mapInArrow(_search(spark.sparkContext.broadcast(blocks[0]), schema.names), schema)
     else:
-        rows = stored(plain.withColumn("_row", F.expr("uuid()")), "contamination-rows")
-        schema = _with(rows.select("_row", "text"), added)
+        (number,) = free_names([*plain.columns, *RESULTS], "row")
+        rows = stored(plain.withColumn(number, F.expr("uuid()")), "contamination-rows")
+        schema = _with(rows.select(number, "text"), added)
         parts = [
-            rows.select("_row", "text").mapInArrow(_search(spark.sparkContext.broadcast(b), schema.names), schema).drop("text")
+            rows.select(number, "text").mapInArrow(_search(spark.sparkContext.broadcast(b), schema.names), schema).drop("text")
             for b in blocks
         ]
         both = parts[0]
         for part in parts[1:]:
             both = both.unionByName(part)
-        both = both.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+        both = both.groupBy(number).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
         both = both.withColumn("matches", F.array_sort("matches"))
-        found = rows.join(both, "_row").drop("_row")
+        found = rows.join(both, number).drop(number)
     covered = F.aggregate(
         F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b")))),
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),

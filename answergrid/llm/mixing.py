@@ -15,7 +15,8 @@ Cases: a NULL source is a source of its own, named by the weight under None. Wei
 not given are equal for all sources; where weights are given, sources without one get
 none. Weights that add up to 0 give no rows. Repeated rows (same id) get the same
 number of copies. A NULL id is drawn like any other. An empty table stays empty.
-Columns named ``copy``, ``n_copies`` or ``shuffle_key`` are replaced. Means beyond
+Columns named ``copy``, ``n_copies`` or ``shuffle_key`` are replaced, all others go through,
+whatever their names. Means beyond
 ``MOST_MEAN`` are split into whole rounds of it, whose draws are independent: a sum
 of Poisson variables is one too.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answergrid.functions.names import free_names
 from answergrid.llm.batches import stored
 
 #: Largest mean drawn at once; its tail beyond TERMS has a probability below 2^-52.
@@ -88,12 +90,13 @@ def mix_sources(
     ``copy`` (from 0), ``n_copies`` and ``shuffle_key``.
     """
     plain = docs.drop("copy", "n_copies", "shuffle_key")
+    own, rounds, odds = free_names([*plain.columns, "copy", "n_copies", "shuffle_key"], "own_source", "rounds", "odds")
     rates = stored(source_rates(plain, weights, total), "source-rates")
-    rates = rates.select(F.col("source").alias("_source"), "rounds", "odds")
-    drawn = plain.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    one = lambda r: F.size(F.filter("odds", lambda p: p <= uniform(F.col(id_column), F.lit(seed), r)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("rounds")), F.lit(0), lambda n, r: n + one(r))
-    counted = drawn.withColumn("n_copies", copies).drop("_source", "rounds", "odds").where("n_copies > 0")
+    rates = rates.select(F.col("source").alias(own), F.col("rounds").alias(rounds), F.col("odds").alias(odds))
+    drawn = plain.join(rates, F.col("source").eqNullSafe(F.col(own)))
+    one = lambda r: F.size(F.filter(odds, lambda p: p <= uniform(F.col(id_column), F.lit(seed), r)))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col(rounds)), F.lit(0), lambda n, r: n + one(r))
+    counted = drawn.withColumn("n_copies", copies).drop(own, rounds, odds).where("n_copies > 0")
     exploded = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = exploded.withColumn("shuffle_key", uniform(F.col(id_column), F.lit(seed), F.lit("order"), F.col("copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_column, "copy")

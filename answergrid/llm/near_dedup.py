@@ -24,6 +24,8 @@ A pair of similarity 0.8 shares a band with a probability above 0.998.
 Cases: NULL text is empty; texts without words are one text if their bytes are equal.
 Repeated rows are copies. A NULL doc_id takes part; a class is named by its smallest
 doc_id that is not NULL, or NULL if it has none. An empty table gives an empty result.
+Other columns go through, whatever their names; of rows with one id and the same words any
+one stays.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answergrid.functions.names import free_names
 from answergrid.llm.batches import mixed, rolling, slices, stored, text_bytes, texts_of, windows, words
 
 SHINGLE = 5
@@ -164,9 +167,9 @@ def _sign(shared: Broadcast):
     return sign
 
 
-def with_key(docs: DataFrame) -> DataFrame:
+def with_key(docs: DataFrame, name: str) -> DataFrame:
     """The documents with the key of their words."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -279,7 +282,7 @@ def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     found = docs.withColumnRenamed("doc_id", "id").join(
         asked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id"))
     )
-    keyed = with_key(found.select("key", "text")).where("key = _key")
+    keyed = with_key(found.select("key", "text"), "own_key").where("key = own_key")
     return stored(keyed.groupBy("key").agg(F.any_value("text").alias("text")), "candidate-texts")
 
 
@@ -351,6 +354,7 @@ def _across(in_buckets: DataFrame, classes: DataFrame, texts: DataFrame, shared:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near duplicates: of each class the row of its smallest doc_id."""
     kept = near_duplicates(docs, threshold).where("keeper").select("doc_id", "key").distinct()
-    kept = stored(kept, "kept").toDF("_id", "_kept")
-    found = with_key(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept")))
-    return found.dropDuplicates(["_id", "_kept"]).select(*docs.columns)
+    key, own, its_key = free_names(docs.columns, "key", "kept_id", "kept_key")
+    kept = stored(kept, "kept").toDF(own, its_key)
+    found = with_key(docs, key).join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(key) == F.col(its_key)))
+    return found.dropDuplicates([own, its_key]).select(*docs.columns)

@@ -22,8 +22,8 @@ the edges are ``BELOW`` and ``ABOVE`` of their own side's deviations (of at leas
 ``LEAST_DEVIATION``) away.
 Texts of one language, length and score count once, so that copies do not narrow a band.
 
-Cases: NULL text has no words and fails the rules. A NULL lang is a language of its
-own. A language whose texts all fail the rules has no band and rejects nothing more.
+Cases: NULL text has no words and fails the rules. A NULL lang and an empty one are one
+language. A language whose texts all fail the rules has no band and rejects nothing more.
 Every row gets a result, repeated rows too; an empty table gives an empty one. Other
 columns go through; columns with the results' names are replaced.
 """
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answergrid.functions.names import free_names
 from answergrid.llm.batches import SPACE, rolling, runs, slices, span_hashes, stored, text_bytes, texts_of, windows
 
 ORDER = 5
@@ -278,26 +279,27 @@ def _arrays(models: DataFrame, pieces: list[str]) -> dict[str, tuple[np.ndarray,
 def score(docs: DataFrame, round_grams: int = ROUND_GRAMS) -> DataFrame:
     """The documents with the counts of the rules and ``log_perplexity``."""
     spark = docs.sparkSession
-    plain = docs.drop(*RESULTS, "_row")
+    plain = docs.drop(*RESULTS)
+    number, more = free_names([*plain.columns, *RESULTS], "row", "more")
     models = train(plain)
     rounds = _rounds(models, round_grams)
     if len(rounds) > 1:
         # Rows get a number in a written table, so that the sums of all rounds find them again.
-        plain = stored(plain.withColumn("_row", F.expr("uuid()")), "quality-rows")
+        plain = stored(plain.withColumn(number, F.expr("uuid()")), "quality-rows")
     counted = T.StructType([*plain.schema.fields, *[T.StructField(n, t) for n, t in _COUNTS]])
     last = spark.sparkContext.broadcast(_arrays(models, rounds[-1]))
     scored = plain.mapInArrow(_scorer(last, counted.names), counted)
     sums = []
     for pieces in rounds[:-1]:
         arrays = _arrays(models, pieces)
-        asked = plain.where(F.coalesce("lang", F.lit("")).isin(list(arrays))).select("_row", "text", "lang")
-        sums.append(stored(asked.mapInArrow(_summer(spark.sparkContext.broadcast(arrays)), "_row string, more double"), "quality-sums"))
+        asked = plain.where(F.coalesce("lang", F.lit("")).isin(list(arrays))).select(number, "text", "lang")
+        sums.append(stored(asked.mapInArrow(_summer(spark.sparkContext.broadcast(arrays), number, more), f"{number} string, {more} double"), "quality-sums"))
     if not sums:
         return scored
-    more = reduce(DataFrame.unionByName, sums).groupBy("_row").agg(F.sum("more").alias("more"))
-    scored = scored.join(more, "_row", "left")
-    whole = F.col("log_perplexity") + F.coalesce("more", F.lit(0.0))
-    return scored.withColumn("log_perplexity", whole).drop("_row", "more")
+    added = reduce(DataFrame.unionByName, sums).groupBy(number).agg(F.sum(more).alias(more))
+    scored = scored.join(added, number, "left")
+    whole = F.col("log_perplexity") + F.coalesce(more, F.lit(0.0))
+    return scored.withColumn("log_perplexity", whole).drop(number, more)
 
 
 def surprise(batch: pa.RecordBatch, arrays: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -327,10 +329,10 @@ def _scorer(shared, names: list[str]):
     return scored
 
 
-def _summer(shared):
+def _summer(shared, number: str, more: str):
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([texts_of(batch, "_row"), pa.array(surprise(batch, shared.value))], ["_row", "more"])
+            yield pa.RecordBatch.from_arrays([texts_of(batch, number), pa.array(surprise(batch, shared.value))], [number, more])
 
     return summed
 
@@ -340,11 +342,12 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     scored = score(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = stored(scored.drop("text").withColumn("base_failed", failed), "quality-scores")
-    bands = stored(_bands(scored.where("not base_failed")), "perplexity-bands")
-    off = F.col("log_perplexity") - F.col("middle")
-    inside = F.coalesce((off / _wider()).between(-F.col("below"), F.col("above")), F.lit(True))
-    judged = scored.join(bands, F.coalesce("lang", F.lit("")) == F.col("l"), "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("l", "middle", "below", "above")
+    bands = stored(_bands(scored.where("not base_failed").select("lang", "word_chars", "log_perplexity")), "perplexity-bands")
+    own, middle, below, above = names = free_names([*scored.columns, "kept"], "l", "middle", "below", "above")
+    off = F.col("log_perplexity") - F.col(middle)
+    inside = F.coalesce((off / _wider()).between(-F.col(below), F.col(above)), F.lit(True))
+    judged = scored.join(bands.select("l", "middle", "below", "above").toDF(*names), F.coalesce("lang", F.lit("")) == F.col(own), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop(*names)
 
 
 def _wider() -> Column:
