@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answergrid.operators import (
+    as_of,
     fields_as_columns,
     find_header,
     import_grid,
@@ -15,6 +16,7 @@ from answergrid.operators import (
     latest_per_entity,
     pack_rows,
     project_fields,
+    validity,
 )
 from answergrid.plans import inputs
 from answergrid.plans.registry import documents_of, query, table
@@ -22,12 +24,17 @@ from answergrid.sources import (
     Run,
     append_history,
     append_history_files,
+    append_load,
     ensure_history,
     import_files,
     new_path,
     read_grid,
     read_history_files,
+    read_latest,
+    read_loads,
+    refresh_latest,
     write_grid,
+    write_load,
 )
 from answergrid.streaming import append_stream, known_header, stream_files
 
@@ -209,6 +216,75 @@ def history_table_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamp_text(latest_fields(spark.table(name), ["segment", "nation"]))
 
 
+@query(f"SELECT 'all' AS kind, count(*) AS n FROM ({_KEPT}) UNION ALL SELECT 'revised', count(*) FROM ({_REVISED}) WHERE segment = 'REVISED'")
+def history_repeated_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same load twice, and one that broke off half-way: one copy of each committed load is read."""
+    path = new_path(spark, "loads")
+    first, second = _two_loads(spark, sf_dir)
+    append_load(first, path, "monday")
+    append_load(first, path, "monday")
+    write_load(second.where("entity_id < 'M'"), path)
+    before = read_loads(spark, path).select(F.lit("all").alias("kind"))
+    append_load(second, path, "tuesday")
+    revised = project_fields(read_loads(spark, path, ["tuesday"]), ["segment"]).where("segment = 'REVISED'")
+    return before.unionByName(revised.select(F.lit("revised").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+    SELECT DISTINCT ON (user_id) CAST(user_id AS VARCHAR) AS entity_id, event_type AS kind,
+           strftime(ts, '%Y-%m-%d %H:%M:%S') AS loaded_at_utc
+    FROM events ORDER BY user_id, ts DESC, event_id DESC
+    """
+)
+def latest_kept_up_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads of events, each merged into the latest records of all users when it comes."""
+    history, state = new_path(spark, "loads"), new_path(spark, "latest")
+    data = F.to_json(F.struct(F.lpad(F.col("event_id").cast("string"), 20, "0").alias("id"), F.col("event_type").alias("kind")))
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("entity_id"), data.alias("data"), F.col("ts").cast("timestamp").alias("loaded_at_utc"), "event_id"
+    )
+    for number in range(3):
+        append_load(events.where(F.col("event_id") % 3 == number), history, f"load {number}")
+        refresh_latest(spark, history, state, buckets=16)
+    return _stamp_text(project_fields(read_latest(spark, state), ["kind"]))
+
+
+_PURCHASES = """
+    SELECT user_id, ts, arg_max(event_id, event_id) AS purchase_id
+    FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts
+"""
+
+
+@query(
+    f"""
+    SELECT e.event_id, p.purchase_id FROM events e
+    ASOF LEFT JOIN ({_PURCHASES}) p ON e.user_id = p.user_id AND e.ts >= p.ts
+    """
+)
+def events_as_of_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the last purchase its user had made by then."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    bought = events.where("event_type = 'purchase'")
+    found = as_of(events, bought, key="user_id", at="ts", history_key="user_id", order="ts", tie="event_id", record="purchase")
+    return found.select("event_id", F.col("purchase.event_id").alias("purchase_id"))
+
+
+@query(
+    f"""
+    SELECT purchase_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS valid_from,
+           strftime(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), '%Y-%m-%d %H:%M:%S') AS valid_until
+    FROM ({_PURCHASES})
+    """
+)
+def validity_of_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From when until when each purchase was its user's last one."""
+    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    spans = validity(bought, "user_id", "ts", "event_id")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spans.select(F.col("event_id").alias("purchase_id"), text("valid_from"), text("valid_until"))
+
+
 @query(
     """
     SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, o_orderpriority AS priority,

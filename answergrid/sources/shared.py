@@ -24,4 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{unique()}"
+
+
+def unique() -> str:
+    """A name that nothing else has."""
+    return uuid.uuid4().hex
