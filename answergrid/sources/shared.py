@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -12,12 +13,17 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Where it is unset, a folder in the warehouse, which all machines share too;
-    the setting is then made, so that all that follows agrees.
+    Where it is unset, a folder in the warehouse, and the setting is made, so that all that
+    follows agrees.  A warehouse on the disk of one machine will do only where that machine
+    runs all tasks; on a cluster it is an error.
     """
     named = spark.conf.get(SETTING, None)
     if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        context, warehouse = spark.sparkContext, spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        system = context._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(context._jsc.hadoopConfiguration())
+        if system.getUri().getScheme() == "file" and not re.match(r"local(\[|$)", context.master):
+            raise ValueError(f"{SETTING} must name a folder that all machines share; the warehouse {warehouse} is on one")
+        named = f"{warehouse}/_shared"
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
 

@@ -303,6 +303,27 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_a_warehouse_on_one_machine_is_no_shared_folder(spark):
+    class Cluster:
+        """The session as it would be on a cluster, without a folder named."""
+
+        def __init__(self, master):
+            self.sparkContext = self
+            self._jvm, self._jsc, self.master = spark._jvm, spark.sparkContext._jsc, master
+            self.conf, self.made = self, {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}
+
+        def get(self, key, default=None):
+            return self.made.get(key, default)
+
+        def set(self, key, value):
+            self.made[key] = value
+
+    assert shared_dir(Cluster("local[8]")) == "file:/tmp/warehouse/_shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Cluster(master))
+
+
 def test_spread_only_adds_a_shuffle_for_few_splits(spark):
     assert spread(spark.range(0, 10, 1, 1), 4).rdd.getNumPartitions() == 4
     many = spark.range(0, 10, 1, 6)
