@@ -49,7 +49,7 @@ BATCH = 1 << 25
 #: Keys that tasks look up at a time: 16 MB.
 MOST_KEYS = 1 << 21
 #: Rows that a task counts before it gives them out.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 19
 _BYTE = np.arange(256)
 #: Ends of pieces: .,;:!? and line breaks.
 ENDS = np.isin(_BYTE, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -141,8 +141,8 @@ def _flat(batch: pa.RecordBatch) -> np.ndarray:
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 8):
-            yield batch.slice(at, 8)
+        for at in range(0, batch.num_rows, 4):
+            yield batch.slice(at, 4)
 
 
 class _Counts:
