@@ -33,6 +33,8 @@ HEADLINES = [
     "exact_title",
     "multi_column",
     "sql_json_field",
+    "sql_field_table",
+    "events_as_of_purchase",
     "unnest_text_rows",
     "unnest_positional_three",
     "unnest_pivot_found",
