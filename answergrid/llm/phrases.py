@@ -48,6 +48,8 @@ UNKNOWN = "und"
 BATCH = 1 << 25
 #: Keys that tasks look up at a time: 16 MB.
 MOST_KEYS = 1 << 21
+#: Token arrays, of half a megabyte of text each, that a task gets at once.
+ARRAYS_AT_ONCE = 16
 #: Rows that a task counts before it gives them out.
 HELD_ROWS = 1 << 19
 _BYTE = np.arange(256)
@@ -145,6 +147,20 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 4)
 
 
+def _counted(passed: DataFrame, name: str) -> DataFrame:
+    """The result of a pass over the token arrays, written.
+
+    Spark sends tasks ten thousand rows at a time, which suits short rows; these are long.
+    """
+    conf, option = passed.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(option)
+    conf.set(option, str(ARRAYS_AT_ONCE))
+    try:
+        return stored(passed, name)
+    finally:
+        conf.set(option, before)
+
+
 class _Counts:
     """Rows with a key, summed up by key (and least and greatest of what else they have)."""
 
@@ -271,7 +287,7 @@ def grown(table: DataFrame, words: DataFrame, least: int, most_keys: int) -> Dat
         for prefixes, heads in _sent(level.select("key", F.element_at("words", 1).alias("head")), most_keys):
             longer = table.mapInArrow(_grower(heads, prefixes, size), "parent long, word long, n long")
             longer = longer.groupBy("parent", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            counted.append(stored(longer, f"phrase-counts-{size + 1}"))
+            counted.append(_counted(longer, f"phrase-counts-{size + 1}"))
         if not counted:
             break
         before = level.drop("parent").withColumnRenamed("key", "parent")
@@ -294,7 +310,7 @@ def survivors(table: DataFrame, phrases: DataFrame, words: DataFrame, totals: Da
     # A rest of one word is a word.
     longer_rests = F.slice("rests", F.lit(1), F.greatest(size - 2, F.lit(0)))
     asked = phrases.select(F.explode(longer_rests).alias("key")).unionByName(phrases.where(size < LONGEST).select("key"))
-    counted = [stored(table.mapInArrow(_rest_counter(*keys), "phrase long, n long, low long, high long"), "rest-counts") for keys in _sent(asked, most_keys)]
+    counted = [_counted(table.mapInArrow(_rest_counter(*keys), "phrase long, n long, low long, high long"), "rest-counts") for keys in _sent(asked, most_keys)]
     same = (F.min("low") == F.max("low")) & (F.min("high") == F.max("high")) & (F.min("low") == F.min("high"))
     counts = reduce(DataFrame.unionByName, counted) if counted else phrases.sparkSession.createDataFrame([], "phrase long, n long, low long, high long")
     facts = stored(counts.groupBy("phrase").agg(F.sum("n").alias("f"), same.alias("follows_one")), "rest-facts")
@@ -328,7 +344,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, most: int = MOST, ba
     texts = docs.select("text", "lang")
     table = stored(texts.mapInArrow(tokens, "lang string, tokens binary"), "word-hashes")
     counts = table.mapInArrow(count_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "word-counts")
+    counts = _counted(counts, "word-counts")
     totals = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
     frequent = counts.where(F.col("n") >= least)
     dealt = _batches(frequent, batch)
