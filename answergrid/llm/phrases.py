@@ -48,10 +48,12 @@ UNKNOWN = "und"
 BATCH = 1 << 25
 #: Keys that tasks look up at a time: 16 MB.
 MOST_KEYS = 1 << 21
-#: Token arrays, of half a megabyte of text each, that a task gets at once.
-ARRAYS_AT_ONCE = 16
+#: Texts or token arrays that a task gets at once; a longer one comes alone.
+BYTES_AT_ONCE = 1 << 21
 #: Rows that a task counts before it gives them out.
 HELD_ROWS = 1 << 19
+#: Rows that a task gives out at once.
+GIVEN_ROWS = 1 << 16
 _BYTE = np.arange(256)
 #: Ends of pieces: .,;:!? and line breaks.
 ENDS = np.isin(_BYTE, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -147,14 +149,14 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 4)
 
 
-def _counted(passed: DataFrame, name: str) -> DataFrame:
-    """The result of a pass over the token arrays, written.
+def _passed(passed: DataFrame, name: str) -> DataFrame:
+    """The result of a pass over the texts or token arrays, written.
 
     Spark sends tasks ten thousand rows at a time, which suits short rows; these are long.
     """
-    conf, option = passed.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf, option = passed.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(option)
-    conf.set(option, str(ARRAYS_AT_ONCE))
+    conf.set(option, str(BYTES_AT_ONCE))
     try:
         return stored(passed, name)
     finally:
@@ -185,7 +187,9 @@ class _Counts:
         if self.held:
             columns = [np.concatenate(x) for x in zip(*self.held, strict=True)]
             columns = self._summed(columns[:keys], columns[keys], columns[keys + 1 :])
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+            for at in range(0, batch.num_rows, GIVEN_ROWS):
+                yield batch.slice(at, GIVEN_ROWS)
         self.held, self.size = [], 0
 
 
@@ -287,7 +291,7 @@ def grown(table: DataFrame, words: DataFrame, least: int, most_keys: int) -> Dat
         for prefixes, heads in _sent(level.select("key", F.element_at("words", 1).alias("head")), most_keys):
             longer = table.mapInArrow(_grower(heads, prefixes, size), "parent long, word long, n long")
             longer = longer.groupBy("parent", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            counted.append(_counted(longer, f"phrase-counts-{size + 1}"))
+            counted.append(_passed(longer, f"phrase-counts-{size + 1}"))
         if not counted:
             break
         before = level.drop("parent").withColumnRenamed("key", "parent")
@@ -310,7 +314,7 @@ def survivors(table: DataFrame, phrases: DataFrame, words: DataFrame, totals: Da
     # A rest of one word is a word.
     longer_rests = F.slice("rests", F.lit(1), F.greatest(size - 2, F.lit(0)))
     asked = phrases.select(F.explode(longer_rests).alias("key")).unionByName(phrases.where(size < LONGEST).select("key"))
-    counted = [_counted(table.mapInArrow(_rest_counter(*keys), "phrase long, n long, low long, high long"), "rest-counts") for keys in _sent(asked, most_keys)]
+    counted = [_passed(table.mapInArrow(_rest_counter(*keys), "phrase long, n long, low long, high long"), "rest-counts") for keys in _sent(asked, most_keys)]
     same = (F.min("low") == F.max("low")) & (F.min("high") == F.max("high")) & (F.min("low") == F.min("high"))
     counts = reduce(DataFrame.unionByName, counted) if counted else phrases.sparkSession.createDataFrame([], "phrase long, n long, low long, high long")
     facts = stored(counts.groupBy("phrase").agg(F.sum("n").alias("f"), same.alias("follows_one")), "rest-facts")
@@ -342,9 +346,9 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, most: int = MOST, ba
     least, ``n`` the words of the language.
     """
     texts = docs.select("text", "lang")
-    table = stored(texts.mapInArrow(tokens, "lang string, tokens binary"), "word-hashes")
+    table = _passed(texts.mapInArrow(tokens, "lang string, tokens binary"), "word-hashes")
     counts = table.mapInArrow(count_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = _counted(counts, "word-counts")
+    counts = _passed(counts, "word-counts")
     totals = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
     frequent = counts.where(F.col("n") >= least)
     dealt = _batches(frequent, batch)
@@ -375,7 +379,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, most: int = MOST, ba
     said = [texts.mapInArrow(_teller(*keys), "word long, said string") for keys in _sent(asked, most_keys)]
     if not said:
         return best.select("lang", F.lit(0).cast("long").alias("rank"), F.lit("").alias("phrase"), "a", "l", "r", "n", "score")
-    said = stored(reduce(DataFrame.unionByName, said).groupBy("word").agg(F.first("said").alias("said")), "phrase-words")
+    said = _passed(reduce(DataFrame.unionByName, said).groupBy("word").agg(F.first("said").alias("said")), "phrase-words")
     spoken = best.select("id", F.posexplode("words").alias("place", "word")).join(said, "word").groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda x: x["said"]), " ").alias("phrase")
     )

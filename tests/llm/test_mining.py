@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from answergrid.llm import packing, spelling
+from answergrid.llm import packing, phrases, spelling
 from answergrid.llm.mining_queries import op11_packing
 from answergrid.llm.packing import best_cuts, pack
 from answergrid.llm.phrases import mine_phrases
@@ -218,3 +218,17 @@ def test_no_phrases(spark):
     assert mine_phrases(df.limit(0), least=1).count() == 0
     alone = spark.createDataFrame([("a. b, a; b!", "en")] * 3, "text STRING, lang STRING")
     assert mine_phrases(alone, least=2).count() == 0
+
+
+def test_phrase_passes_get_few_bytes_at_once(spark, monkeypatch):
+    tokens, teller = phrases.tokens, phrases._teller
+
+    def small(batches):
+        for batch in batches:
+            assert batch.nbytes <= 2 * phrases.BYTES_AT_ONCE, batch.nbytes
+            yield batch
+
+    monkeypatch.setattr(phrases, "tokens", lambda batches: tokens(small(batches)))
+    monkeypatch.setattr(phrases, "_teller", lambda asked: lambda batches: teller(asked)(small(batches)))
+    df = spark.range(4000, numPartitions=1).selectExpr("repeat(concat('deep sea ', id % 7, ' . '), 200) AS text", "'en' AS lang")
+    assert {r["phrase"] for r in mine_phrases(df).collect()} == {"deep sea", *(f"deep sea {i}" for i in range(7))}
