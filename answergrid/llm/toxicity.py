@@ -8,9 +8,11 @@ smoothed by ``SMOOTHING`` examples of the base rate, to the power ``SHARPNESS``,
 ``LEAST_TELL`` more for any word. So a word tells more the more examples agree, at every number of labels.
 
 The inverted index has, per term, the examples that hold it and their weights, and per
-term and block of ``BLOCK`` examples the largest weight. A text visits blocks in the order of
-their upper bounds and stops when no block can hold an example nearer than the k-th
-found, so the k nearest are exact. Their votes weigh as much as their cosines:
+term and block of ``BLOCK`` examples the largest weight. A text reads the postings of its
+heaviest terms first. The largest weights bound what its other terms can still add in each
+block, ``LEFT`` in all at most: an example that stays below the k-th even so is out, the
+cosines of the others are taken from the examples' own terms. While too many are left,
+more terms are read, in the end all, so the k nearest are exact. Their votes weigh as much as their cosines:
 ``score = (sum(cosine * label) + PRIOR * base rate) / (sum(cosine) + PRIOR)``. The base
 rate is that of the sample, which is drawn regardless of the label, so scores are rates.
 The nearest examples come along as evidence.
@@ -46,6 +48,11 @@ SHARPNESS = 3
 LEAST_TELL = 0.01
 NEIGHBOURS = 25
 BLOCK = 128
+#: What the terms not yet read may add to a cosine, round by round, and examples that may be left then.
+LEFT = (0.01, 0.001, 0.0)
+MOST_LEFT = 8 * NEIGHBOURS
+#: Above the rounding of sums.
+SLACK = 1e-9
 PRIOR = 0.5
 #: Answers a task remembers, for copies.
 REMEMBERED = 1_000
@@ -130,43 +137,59 @@ class ExampleIndex:
         place = term * self.blocks + self.example // BLOCK
         first = np.flatnonzero(np.diff(place, prepend=-1))
         self.block = (place[first] % self.blocks).astype(np.int32)
-        self.begin = np.append(first, len(place))
+        self.begin = np.append(np.cumsum(held) - held, len(place))
         self.entries = np.searchsorted(place[first] // self.blocks, np.arange(len(terms) + 1))
         # Above the true weight, so that rounding cannot hide a block.
         most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.most = np.nextafter(most.astype(np.float32), np.float32(2))
+        # Every term of the index is held by an example.
+        self.top = np.maximum.reduceat(self.most, self.entries[:-1]) if len(first) else np.zeros(0, np.float32)
+        #: The same postings by example.
+        by_example = np.argsort(self.example, kind="stable")
+        self.own_term, self.own_weight = term[by_example].astype(np.int32), self.weight[by_example]
+        self.own_begin = np.searchsorted(self.example[by_example], np.arange(len(ids) + 1))
+        self.asked = np.zeros(len(terms))
 
     def weights(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
         return (1 + np.log(times)) * self.scale[term]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0, and the cosines."""
-        entry, of = _ranges(self.entries[term], self.entries[term + 1])
-        block, share = self.block[entry], weight[of]
-        bounds = np.bincount(block, share * self.most[entry], self.blocks)
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bounds, kind="stable")
-        by_block = np.argsort(block, kind="stable")
-        cuts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        begin, step = 0, 4
-        while begin < len(order):
-            chosen = order[begin : begin + step]
-            chosen = chosen[bounds[chosen] > 0]
-            if not len(chosen) or (len(best) == NEIGHBOURS and bounds[chosen[0]] < cosine[-1]):
-                break
-            # All postings of the text's terms in the chosen blocks, one after the other.
-            mine, slot_block = _ranges(cuts[chosen], cuts[chosen + 1])
-            mine = by_block[mine]
-            at, of = _ranges(self.begin[entry[mine]], self.begin[entry[mine] + 1])
-            slot = self.example[at] + ((slot_block - chosen[slot_block]) * BLOCK)[of]
-            total = np.bincount(slot, self.weight[at] * share[mine][of], len(chosen) * BLOCK)
-            hit = np.flatnonzero(total)
-            ids = np.concatenate((best, chosen[hit // BLOCK] * BLOCK + hit % BLOCK))
-            cosine = np.concatenate((cosine, total[hit]))
-            top = np.lexsort((ids, -np.round(cosine, 12)))[:NEIGHBOURS]
-            best, cosine = ids[top], cosine[top]
-            begin, step = begin + step, 2 * step
-        return best, cosine
+        order = np.argsort(-weight * self.top[term], kind="stable")
+        term, weight = term[order], weight[order]
+        adds = weight * self.top[term]
+        after = np.append(np.cumsum(adds[::-1])[::-1], 0.0)  # what the terms from the i-th on can add
+        total, read = np.zeros(self.blocks * BLOCK), 0
+        for left in LEFT:
+            stop = int(np.searchsorted(-after, -left)) if left else len(term)
+            at, of = _ranges(self.begin[term[read:stop]], self.begin[term[read:stop] + 1])
+            total += np.bincount(self.example[at], self.weight[at] * weight[read:stop][of], len(total))
+            read = max(read, stop)
+            if read == len(term):
+                found = np.flatnonzero(total)
+                return self._best(found, total[found])
+            kth = np.partition(total, -NEIGHBOURS)[-NEIGHBOURS] - SLACK
+            if kth <= 0 or np.count_nonzero(total + after[read] >= kth) > 4 * MOST_LEFT:
+                continue
+            entry, of = _ranges(self.entries[term[read:]], self.entries[term[read:] + 1])
+            bounds = np.bincount(self.block[entry], weight[read:][of] * self.most[entry], self.blocks)
+            near = np.flatnonzero((total.reshape(self.blocks, BLOCK) + bounds[:, None]).ravel() >= kth)
+            near = near[near < len(self.ids)]
+            if len(near) <= MOST_LEFT:
+                return self._best(near, self._cosines(near, term, weight))
+        raise AssertionError("the last round reads all terms")
+
+    def _cosines(self, examples: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        self.asked[term] = weight
+        at, of = _ranges(self.own_begin[examples], self.own_begin[examples + 1])
+        cosine = np.bincount(of, self.asked[self.own_term[at]] * self.own_weight[at], len(examples))
+        self.asked[term] = 0
+        return cosine
+
+    def _best(self, examples: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = np.lexsort((examples, -np.round(cosine, 12)))[:NEIGHBOURS]
+        top = top[cosine[top] > 0]
+        return examples[top], cosine[top]
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES) -> ExampleIndex:

@@ -212,6 +212,30 @@ def test_few_labels_teach_and_all_words_count(spark):
     assert min(scored[i]["score"] for i in range(0, 400, 7)) > max(scored[i]["score"] for i in range(400) if i % 7)
 
 
+def test_toxicity_reads_few_postings(monkeypatch):
+    rng = np.random.default_rng(3)
+    held = [np.sort(rng.choice(400, size, replace=False)) for size in [400] * 30 + [3] * 600]
+    term = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    scale = np.repeat([0.01, 5.0], [30, 600])
+    triples = np.concatenate(held), term, rng.integers(1, 4, len(term))
+    index = toxicity.ExampleIndex(np.arange(630, dtype=np.uint64), scale, list(range(400)), np.arange(400) % 2, triples)
+    read, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda begin, end: read.append(int((end - begin).sum())) or ranges(begin, end))
+    matrix = np.zeros((400, 630))
+    matrix[index.example, np.repeat(np.arange(630), index.held)] = index.weight
+    asked = []
+    for heavy in [60] * 20 + [3, 1]:
+        own = np.concatenate((np.arange(30), np.sort(rng.choice(np.arange(30, 630), heavy, replace=False))))
+        weight = index.weights(own, rng.integers(1, 4, len(own)))
+        weight /= np.sqrt((weight**2).sum())
+        asked.append(int(index.held[own].sum()))
+        best, cosine = index.nearest(own, weight)
+        wanted = matrix[:, own] @ weight
+        assert best.tolist() == np.lexsort((np.arange(400), -np.round(wanted, 12)))[: toxicity.NEIGHBOURS].tolist()
+        assert np.allclose(cosine, wanted[best], atol=1e-12)
+    assert sum(read) < 0.5 * sum(asked)
+
+
 def test_secrets_are_scanned_once(spark, docs):
     ledger = new_path(spark, "ledger")
     rows = [(1, "É Password = 'abcdef1' x"), (2, None), (3, "É Password = 'abcdef1' x"), (3, "token: secret: abcdefgh")]
