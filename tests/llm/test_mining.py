@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -175,6 +176,20 @@ def test_one_edit_against_all_edits():
     assert left.near(np.arange(5), right, np.arange(5)).tolist() == [True, True, True, False, False]
 
 
+def test_latin_words_go_to_the_model_directly(monkeypatch):
+    asked, encoded = [], packing.Ids._encoded
+    monkeypatch.setattr(packing.Ids, "_encoded", lambda self, parts: asked.extend(parts) or encoded(self, parts))
+    known = packing.Ids(public_tokenizers.path(packing.TOKENIZER))
+    plain = ["Été née, ÿß Øre!", "BEGELICH!! haedon$$$ foo' (,***", None, "", "Éé." + " ñandú***" * 3 + " x_y`"]
+    odd = ["E\u0301te\u0301 H\u0331a h\u0331A x\u0301***", "don't DON'T's 'll it's!'", "ΣΑΣ. İ K ﬁ日本", "<|endoftext|>,", "a\x1cb\x85c\xa0d 1²a ×÷", "naïve\u200d."]
+    for texts in (plain, odd):
+        ids, first = known.of(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(first)] == [ids_of(t) for t in texts]
+        if texts is plain:
+            assert not [x for x in asked if x[0] in packing.LATIN and x != "x_y`"]
+    assert known.of(pa.array([], pa.string()))[0].tolist() == []
+
+
 def brute_phrases(rows, least, most):
     found = {}
     for text, lang in rows:
