@@ -18,14 +18,14 @@ from answergrid.sources.shared import new_path
 SLICE_BYTES = 1 << 19
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again.
+def stored(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """The rows, written to the shared folder (with the writer's options) and read again.
 
     This cuts the lineage, survives lost executors and gives Spark the true size.
     """
     spark: SparkSession = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -50,6 +50,8 @@ BATCH = 1 << 25
 MOST_KEYS = 1 << 21
 #: Texts or token arrays that a task gets at once; a longer one comes alone.
 BYTES_AT_ONCE = 1 << 21
+#: Rows of them that a task reads at once.
+READ_ROWS = 64
 #: Rows that a task counts before it gives them out.
 HELD_ROWS = 1 << 19
 #: Rows that a task gives out at once.
@@ -152,15 +154,18 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _passed(passed: DataFrame, name: str) -> DataFrame:
     """The result of a pass over the texts or token arrays, written.
 
-    Spark sends tasks ten thousand rows at a time, which suits short rows; these are long.
+    Spark reads, sends and packs into a page thousands of rows at a time, which suits short rows; these are long.
     """
-    conf, option = passed.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = conf.get(option)
-    conf.set(option, str(BYTES_AT_ONCE))
+    conf = passed.sparkSession.conf
+    set_to = {"spark.sql.execution.arrow.maxBytesPerBatch": BYTES_AT_ONCE, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
+    before = {option: conf.get(option) for option in set_to}
     try:
-        return stored(passed, name)
+        for option, value in set_to.items():
+            conf.set(option, str(value))
+        return stored(passed, name, **{"parquet.page.size.row.check.min": 1})
     finally:
-        conf.set(option, before)
+        for option, value in before.items():
+            conf.set(option, value)
 
 
 class _Counts:
