@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergrid.functions import documents
+from answergrid.functions import documents, variants
 from answergrid.sources.shared import new_path
 
 # Beginnings of question titles, and the length over which a text may
@@ -16,7 +16,6 @@ TITLE_PREFIXES = ("С ", "Ваш", "Как", "Что")
 TITLE_LENGTH = 10
 
 _NODE = "array<struct<path:string,node:variant>>"
-_LEVEL_NODE = "array<struct<path:string,level:int,node:variant>>"
 
 
 def _entries(doc: Column, prefix: str) -> Column:
@@ -84,42 +83,6 @@ def profile_json(
     )
 
 
-def _children(path: Column, node: Column) -> Column:
-    """The values of an object and the elements of an array, with their paths."""
-    entries = F.transform(
-        F.map_entries(documents.object_map(node)),
-        lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("node")),
-    )
-    elements = F.transform(
-        F.try_variant_get(node, documents.ROOT, "array<variant>"),
-        lambda e: F.struct(F.concat(path, F.lit("[*]")).alias("path"), e.alias("node")),
-    )
-    return F.coalesce(entries, elements)
-
-
-def _to_depth(docs: DataFrame, depth: int) -> DataFrame:
-    """``path, kind, level`` and counts of all values at most ``depth`` levels below the root."""
-    nodes = docs.select(F.lit(documents.ROOT).alias("path"), F.lit(0).alias("level"), F.col("doc").alias("node"))
-    for level in range(depth):
-        own = F.array(F.struct("path", "level", "node"))
-        below = F.transform(
-            F.when(F.col("level") == level, _children(F.col("path"), F.col("node"))),
-            lambda c: F.struct(c["path"].alias("path"), F.lit(level + 1).alias("level"), c["node"].alias("node")),
-        )
-        nodes = nodes.select(F.explode(F.concat(own, F.coalesce(below, F.array().cast(_LEVEL_NODE)))).alias("n")).select("n.*")
-    # A missing document has no root; JSON null is a value of kind null.
-    kinds = nodes.where("node IS NOT NULL").withColumn("kind", documents.kind(F.col("node")))
-    text = F.when(F.col("kind").isin("string", "boolean"), F.col("node").cast("string"))
-    number = F.when(F.col("kind") == "number", F.try_variant_get("node", documents.ROOT, "double"))
-    return kinds.select("path", "kind", "level", text.alias("text"), number.alias("number")).groupBy("path", "kind", "level").agg(
-        F.count("*").alias("n_rows"),
-        F.min("text").alias("least"),
-        F.max("text").alias("greatest"),
-        F.min("number").alias("least_number"),
-        F.max("number").alias("greatest_number"),
-    )
-
-
 def profile_all_paths(df: DataFrame, col: str, depth: int = 4) -> DataFrame:
     """Every path of a column's documents, however deep.
 
@@ -127,21 +90,23 @@ def profile_all_paths(df: DataFrame, col: str, depth: int = 4) -> DataFrame:
     the key ``b`` of the elements of ``a``; ``n_rows`` counts the values met there, and the
     least and greatest are those of texts and booleans, and of numbers.
 
-    All levels down to ``depth`` are expanded in one pass, without a shuffle but of the
-    counts, which are added up before it, so a common path moves few rows.  While objects or
-    arrays are left at the last level, the depth is doubled and the pass made again; what is
-    counted is written, as small as the number of paths.
+    All levels are walked in one pass, a few megabytes of documents at once, and each such
+    part gives one row per path and kind, so a common path moves few rows.  What is counted
+    is written, as small as the number of paths.  ``depth`` counts no more: it was the number
+    of levels of a first pass.
     """
     docs = df.select(documents.document_of(df, col).alias("doc"))
-    while True:
-        counted = _to_depth(docs, depth)
-        path = new_path(df.sparkSession, "paths")
-        counted.write.parquet(path)
-        found = df.sparkSession.read.schema(counted.schema).parquet(path)
-        deepest = (F.col("level") == depth) & F.col("kind").isin("object", "array")
-        if found.where(deepest).isEmpty():
-            return found.drop("level")
-        depth *= 2
+    # A missing document has no root; JSON null is a value of kind null.
+    counted = docs.mapInArrow(variants.count_paths, variants.COUNTED).groupBy("path", "kind").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.min("least").alias("least"),
+        F.max("greatest").alias("greatest"),
+        F.min("least_number").alias("least_number"),
+        F.max("greatest_number").alias("greatest_number"),
+    )
+    path = new_path(df.sparkSession, "paths")
+    counted.write.parquet(path)
+    return df.sparkSession.read.schema(counted.schema).parquet(path)
 
 
 def json_schema(df: DataFrame, col: str) -> DataFrame:
