@@ -1,5 +1,7 @@
 """Documents of line items, and titles found in many of them."""
 
+import json
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -44,8 +46,13 @@ def test_values_go_back_once_per_record():
     """A row gives back its records' values and the default, not a value per title."""
     titles = [f"title {i}" for i in range(300)] + ["itle 7"]
     find = many_titles._finder(many_titles.Titles(titles), "none").func
-    texts, values = pa.array([["title 7", "title 299 title 7"], None, []]), pa.array([["a", "b"], None, []])
-    got = find(texts, values, pa.array([None, ["title 1", "title 1 title 7"], None]), pa.array([None, ["c", "d"], None])).to_pylist()
+    records = [
+        {"texts_0": ["title 7", "title 299 title 7"], "values_0": ["a", "b"]},
+        {"texts_1": ["title 1", "title 1 title 7"], "values_1": ["c", "d"]},
+        {"texts_0": [], "values_0": []},
+    ]
+    none = pa.array([None] * 3, pa.struct({"value": pa.binary(), "metadata": pa.binary()}))
+    got = find(none, pa.array(map(json.dumps, records), pa.string())).to_pylist()
     assert [sorted(r["own"]) for r in got] == [["a", "b", "none"], ["c", "d", "none"], ["none"]]
     said = [[r["own"][i] for i in r["which"]] for r in got]
     assert [{t: s for t, s in zip(titles, row, strict=True) if s != "none"} for row in said] == [
