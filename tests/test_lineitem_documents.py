@@ -1,11 +1,13 @@
 """Documents of line items, and titles found in many of them."""
 
 import json
+import random
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from answergrid import fields_as_columns, many_fields
 from answergrid.operators import many_titles
 from answergrid.plans import QUERIES, inputs
 
@@ -60,3 +62,44 @@ def test_values_go_back_once_per_record():
         {"title 1": "c", "title 7": "d", "itle 7": "d"},
         {},
     ]
+
+
+def any_value(rng, depth=0):
+    kind = rng.random()
+    if kind < 0.5 or depth > 2:
+        return rng.choice([None, True, False, 0, -7, 300, 70_000, -5_000_000_000, 1.5, 100.0, -2.50, 'a"b\\c\n\x01/é', "Имя", "x" * 80, ""])
+    if kind < 0.75:
+        return [any_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return {k: any_value(rng, depth + 1) for k in rng.sample(["b", "a", "title", 'é"q'], rng.randint(0, 3))}
+
+
+def any_record(rng):
+    keys = ["question_title", "title", "question", "name", "label", "key", "value_text", "answer", "text", "value", "response", "comment"]
+    words = ["Имя", "Full NAME", "ÉTÉ x", "a 100", "STRASSE", "ẞ İ", "Σας", True, 15, "σ"]
+    return {k: rng.choice(words) if rng.random() < 0.6 else any_value(rng) for k in rng.sample(keys, rng.randint(0, 6))}
+
+
+def test_documents_read_in_python_as_by_spark(spark):
+    """Values of every kind, rare letters, doubles and escapes, beside plain documents."""
+    rng, texts = random.Random(5), ["not json", "", None, "[]", '{"list": []}', "null", "5", '"x"']
+    for _ in range(60):
+        some = [rng.choice([any_record(rng), any_record(rng), None, "text", [any_record(rng)]]) for _ in range(rng.randint(0, 4))]
+        for d in ({"list": some}, some, any_record(rng) | {"list": rng.choice([5, None, some, {}])}, any_record(rng)):
+            texts.append(json.dumps(d, ensure_ascii=rng.random() < 0.2))
+    for value in ("1e5", "1" * 39, "12345678901234567890.12345678901234567", "-0.0", "0.00000000000000000001", "-12.3400"):
+        texts.append(f'{{"name": "n", "name": "full name", "value": {value}}} and more')
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, j STRING")
+    plain = df.where(many_titles._is_plain(df, "j")).count()
+    assert 50 < plain < len(texts) - 50
+    titles = ["name", "имя", "été", "100", "true", "15", "strasse", "ß", "i̇", "σ", "full", "e", "absent", "1.5", '"a":', "null", "["]
+    for how in ({}, {"default": None}):
+        wanted = fields_as_columns(df, "j", titles, **how).collect()
+        got = many_fields(df, "j", titles, **how).collect()
+        assert sorted(got, key=lambda r: r["id"]) == sorted(wanted, key=lambda r: r["id"])
+
+
+def test_no_arrays_go_to_python(spark, odd_items):
+    """For the size of a batch Spark goes through all its arrays, for every row."""
+    plan = QUERIES["many_titles_lineitem"].run(spark, odd_items)._jdf.queryExecution().executedPlan().toString()
+    call = plan[plan.index("ArrowEvalPython") :].split("\n", 1)[0]
+    assert ".document, CASE WHEN isnull(" in call and "StructsToJson" in call
